@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tokensieve.llm import exact_dedup
+from tokensieve.llm import exact_dedup, mixing
 
 
 def queries() -> dict:
     return {
+        "op6_mix_sources": mixing.op6_mix_sources,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_mix_sources": mixing.SQL,
         "op8_exact_dedup": exact_dedup.SQL,
     }
