@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tokensieve.llm import exact_dedup, mixing
+from tokensieve.llm import exact_dedup, language, mixing, subword
 
 
 def queries() -> dict:
     return {
+        "op5_language_id": language.op5_language_id,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_subword_dropout": subword.op9_subword_dropout,
     }
 
 
