@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tokensieve.llm import exact_dedup, language, mixing, subword
+from tokensieve.llm import exact_dedup, language, mixing, personal, quality, subword
 
 
 def queries() -> dict:
     return {
+        "op4_quality": quality.op4_quality,
         "op5_language_id": language.op5_language_id,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_subword_dropout": subword.op9_subword_dropout,
+        "op10_personal_data": personal.op10_personal_data,
     }
 
 
