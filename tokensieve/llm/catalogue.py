@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tokensieve.llm import exact_dedup, language, mixing, personal, quality, subword
+from tokensieve.llm import exact_dedup, language, mixing, near_dedup, personal, quality, subword
 
 
 def queries() -> dict:
     return {
+        "op2_near_dedup": near_dedup.op2_near_dedup,
         "op4_quality": quality.op4_quality,
         "op5_language_id": language.op5_language_id,
         "op6_mix_sources": mixing.op6_mix_sources,
