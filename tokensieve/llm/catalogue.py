@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tokensieve.llm import exact_dedup, language, mixing, near_dedup, personal, quality, subword
+from tokensieve.llm import exact_dedup, language, mixing, near_dedup, personal, quality, subword, vectors
 
 
 def queries() -> dict:
     return {
+        "op1_near_vectors": vectors.op1_near_vectors,
         "op2_near_dedup": near_dedup.op2_near_dedup,
         "op4_quality": quality.op4_quality,
         "op5_language_id": language.op5_language_id,
