@@ -28,39 +28,40 @@ STATE = {
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
+#: Lets a join drop rows without a partner before they are shuffled, by a Bloom filter of at most 8 MB.
+BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1TB",
+}
+
 
 def sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
 def with_locator(docs: DataFrame) -> DataFrame:
-    """docs with _file and _row, the place of each row in storage. Frames that aren't a plain scan are stored first."""
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    """docs with _place, each row's place in storage (file and row). Frames that aren't a plain scan are stored first."""
+    place = F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias("_place")
     try:
-        return docs.select("*", *place)
+        return docs.select("*", place)
     except Exception as e:
         if "UNRESOLVED_COLUMN" not in str(e):
             raise
-    return common.stored(docs, "rows").select("*", *place)
+    return common.stored(docs, "rows").select("*", place)
 
 
 def keyed_state(spark: SparkSession, path: str, schema: StructType, state_dir: str | None = None) -> DataFrame:
-    """(digest, keeper, group_size) of the feed (digest, id, _file, _row) stored at path, kept in streaming state.
+    """(digest, keeper, group_size) of the feed (digest, id, _place) stored at path, kept in streaming state.
 
     state_dir: a checkpoint folder to go on with; rows of earlier runs then still count. A new one otherwise.
     """
     at = state_dir or common.scratch(spark, "state")
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
-        spark.conf.set(k, v)
-    try:
+    with common.settings(spark, STATE):
         arrivals = spark.readStream.schema(schema).parquet(path)
-        kept = arrivals.groupBy("digest").agg(F.max(F.struct("id", "_file", "_row")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
+        kept = arrivals.groupBy("digest").agg(F.max(F.struct("id", "_place")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
         query = kept.writeStream.outputMode("update").format("noop").option("checkpointLocation", at).trigger(availableNow=True).start()
         query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     state = spark.read.format("statestore").load(at)
     value = state.schema["value"].dataType.names  # the aggregate's buffers, in the order of its functions
     return state.select(F.col("key.digest"), F.col(f"value.{value[-2]}").alias("keeper"), F.col(f"value.{value[-1]}").alias("group_size"))
@@ -70,17 +71,16 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with
-    the greatest id stays (a null id is less than any); of repeated rows with one id, the last in storage stays,
+    the greatest id stays (a null id is less than any); of repeated rows with one id, the one with the greatest place stays,
     so that each group keeps exactly one row. An empty table gives an empty result. Other columns of docs are
     not read, so their names don't matter.
 
     digest: what keys the state; anything weaker than SHA-256 (tests) still gives right results, by the check of bytes.
     """
     rows = with_locator(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    norm = common.lower_ascii(F.coalesce("text", F.lit("")))
-    rows = rows.select("id", "_file", "_row", norm.alias("norm"))
+    rows = rows.select("id", "_place", common.lower_ascii(F.coalesce("text", F.lit(""))).alias("norm"))
     keyed = rows.withColumn("digest", digest(F.col("norm")))
-    keyed.select("digest", "id", "_file", "_row").write.parquet(path := common.scratch(spark, "keys"))
+    keyed.select("digest", "id", "_place").write.parquet(path := common.scratch(spark, "keys"))
     feed = spark.read.parquet(path)
     groups = common.stored(keyed_state(spark, path, feed.schema, state_dir), "groups")
     hits = groups.filter("group_size > 1")
@@ -88,16 +88,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     single = feed.join(hits.select("digest"), "digest", "left_anti").select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
     )
-    # hits: short rows first, so that text moves only for rows that have a partner
-    members = feed.join(hits, "digest").select("digest", "_file", "_row", "keeper", "group_size")
-    texts = rows.join(members, ["_file", "_row"])
-    first = texts.filter((F.col("keeper._file") == F.col("_file")) & (F.col("keeper._row") == F.col("_row")))
-    first = first.select("digest", F.col("norm").alias("keeper_norm"))
-    checked = texts.join(first, "digest", "left").select(
-        "id", "_file", "_row", "digest", "keeper", "group_size", F.coalesce(F.col("norm") == F.col("keeper_norm"), F.lit(False)).alias("same")
-    )
-    checked = common.stored(checked, "checked")
-    is_keeper = (F.col("keeper._file") == F.col("_file")) & (F.col("keeper._row") == F.col("_row"))
+    members = common.stored(feed.join(hits, "digest").select("digest", "id", "_place", "keeper", "group_size"), "members")
+    with common.settings(spark, BLOOM):  # texts are moved for members alone
+        texts = common.stored(rows.select("_place", "norm").join(members.filter("group_size > 1"), "_place"), "texts")
+    is_keeper = F.col("keeper._place") == F.col("_place")
+    first = texts.filter(is_keeper).select("digest", F.col("norm").alias("keeper_norm"))
+    same = F.coalesce(F.col("norm") == F.col("keeper_norm"), F.lit(False)).alias("same")
+    checked = common.stored(texts.join(first, "digest", "left").select("id", "_place", "digest", "keeper", "group_size", same), "checked")
     odd = checked.filter(~F.col("same"))
     if odd.isEmpty():
         twins = checked.select("id", F.col("keeper.id").alias("keep_id"), "group_size", is_keeper.alias("kept"), "digest")
@@ -105,10 +102,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         fewer = odd.groupBy("digest").agg(F.count(F.lit(1)).alias("n_odd"))
         equal = checked.filter("same").join(fewer, "digest", "left")
         equal = equal.select("id", F.col("keeper.id").alias("keep_id"), (F.col("group_size") - F.coalesce("n_odd", F.lit(0))).alias("group_size"), is_keeper.alias("kept"), "digest")
-        own = odd.select("_file", "_row").join(rows, ["_file", "_row"])
-        again = own.groupBy("norm").agg(F.max(F.struct("id", "_file", "_row")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
-        again = own.join(again, "norm").withColumn("digest", digest(F.col("norm")))
-        twins = equal.unionByName(again.select("id", F.col("keeper.id").alias("keep_id"), "group_size", is_keeper.alias("kept"), "digest"))
+        own = odd.select("_place").join(texts.select("id", "_place", "norm", "digest"), "_place")
+        again = own.groupBy("norm").agg(F.max(F.struct("id", "_place")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
+        twins = equal.unionByName(own.join(again, "norm").select("id", F.col("keeper.id").alias("keep_id"), "group_size", is_keeper.alias("kept"), "digest"))
     result = single.unionByName(twins)
     if digest is not sha256:
         return result.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept")

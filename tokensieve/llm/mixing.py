@@ -53,7 +53,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
 
 
 def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = "") -> DataFrame:
-    """One row per row of docs: id_col, size, source_size, target, taken, and the row's place (_file, _row).
+    """One row per row of docs: id_col, size, source_size, target, taken, and the row's place (_place).
 
     Null texts have size 0 and null sources are a source of their own, the last. Repeated ids follow each other in
     the order (size, place). A source without words has target 0. An empty table gives an empty result. Other
@@ -61,7 +61,7 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     """
     rows = with_locator(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source")))
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    sized = common.stored(rows.select("id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), "_file", "_row"), "sized")
+    sized = common.stored(rows.select("id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), "_place"), "sized")
     sized = sized.withColumn("range", F.substring("key", 1, DIGITS))
 
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("words"))
@@ -71,14 +71,14 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     starts = starts.join(per_source.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "words")
     starts = starts.withColumnsRenamed({"source": "of", "range": "at"})
 
-    inside = Window.partitionBy("source", "range").orderBy("key", "size", "_file", "_row")
+    inside = Window.partitionBy("source", "range").orderBy("key", "size", "_place")
     running = sized.withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     joined = running.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
     budget = F.floor("target").cast("long")
     epochs = F.coalesce(F.expr("try_divide(floor(target), source_size)").cast("long"), F.lit(0))
     joined = joined.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("before")))
-    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"), "_file", "_row")
+    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"), "_place")
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
@@ -87,13 +87,13 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFram
     The one document of a source at which the budget is cut is taken whole; documents without words are never taken.
     """
     placed = with_locator(docs)
-    taken = mix(spark, docs, **options).filter("taken > 0").select("_file", "_row", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    out = placed.join(taken, ["_file", "_row"])
+    taken = mix(spark, docs, **options).filter("taken > 0").select("_place", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    out = placed.join(taken, "_place")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark, common.documents(spark, sf_dir)).drop("_file", "_row")
+    return mix(spark, common.documents(spark, sf_dir)).drop("_place")
 
 
 SQL = r"""
