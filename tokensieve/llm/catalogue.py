@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tokensieve.llm import exact_dedup, language, mixing, near_dedup, personal, quality, subword, vectors
+from tokensieve.llm import exact_dedup, language, mixing, near_dedup, personal, quality, substring_dedup, subword, vectors
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_quality": quality.op4_quality,
         "op5_language_id": language.op5_language_id,
         "op6_mix_sources": mixing.op6_mix_sources,
+        "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_subword_dropout": subword.op9_subword_dropout,
         "op10_personal_data": personal.op10_personal_data,
