@@ -69,7 +69,7 @@ def keyed_state(spark: SparkSession, path: str, schema: StructType, state_dir: s
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None, digest=sha256) -> DataFrame:
-    """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256, _place (the row's place in storage).
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with
     the greatest id stays (a null id is less than any); of repeated rows with one id, the one with the greatest place stays,
@@ -87,7 +87,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     hits = groups.filter("group_size > 1")
 
     single = feed.join(hits.select("digest"), "digest", "left_anti").select(
-        "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
+        "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest", "_place"
     )
     members = common.stored(feed.join(hits, "digest").select("digest", "id", "_place", "keeper", "group_size"), "members")
     with common.settings(spark, BLOOM):  # texts are moved for members alone
@@ -98,22 +98,29 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     checked = common.stored(texts.join(first, "digest", "left").select("id", "_place", "digest", "keeper", "group_size", same), "checked")
     odd = checked.filter(~F.col("same"))
     if odd.isEmpty():
-        twins = checked.select("id", F.col("keeper.id").alias("keep_id"), "group_size", is_keeper.alias("kept"), "digest")
+        twins = checked.select("id", F.col("keeper.id").alias("keep_id"), "group_size", is_keeper.alias("kept"), "digest", "_place")
     else:
         fewer = odd.groupBy("digest").agg(F.count(F.lit(1)).alias("n_odd"))
         equal = checked.filter("same").join(fewer, "digest", "left")
-        equal = equal.select("id", F.col("keeper.id").alias("keep_id"), (F.col("group_size") - F.coalesce("n_odd", F.lit(0))).alias("group_size"), is_keeper.alias("kept"), "digest")
+        equal = equal.select("id", F.col("keeper.id").alias("keep_id"), (F.col("group_size") - F.coalesce("n_odd", F.lit(0))).alias("group_size"), is_keeper.alias("kept"), "digest", "_place")
         own = odd.select("_place").join(texts.select("id", "_place", "norm", "digest"), "_place")
         again = own.groupBy("norm").agg(F.max(F.struct("id", "_place")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
-        twins = equal.unionByName(own.join(again, "norm").select("id", F.col("keeper.id").alias("keep_id"), "group_size", is_keeper.alias("kept"), "digest"))
+        twins = equal.unionByName(own.join(again, "norm").select("id", F.col("keeper.id").alias("keep_id"), "group_size", is_keeper.alias("kept"), "digest", "_place"))
     result = single.unionByName(twins)
     if digest is not sha256:
-        return result.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept")
-    return result.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+        return result.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "_place")
+    return result.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"), "_place")
+
+
+def kept_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The row of docs that each group of equal texts keeps; the columns stay."""
+    placed = with_locator(docs)
+    dropped = exact_dedup(spark, docs).filter(~F.col("kept")).select("_place")
+    return placed.join(dropped, "_place", "left_anti").select(*docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark, common.documents(spark, sf_dir))
+    return exact_dedup(spark, common.documents(spark, sf_dir)).drop("_place")
 
 
 SQL = r"""
