@@ -61,6 +61,11 @@ class Pieces:
         self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int32)  # equal scores rank alike
         self.raw = [bytes([int(p[3:5], 16)]) if b else p.replace(BLANK, " ").encode() if i >= special else b"" for i, (p, _, b) in enumerate(rows)]
         pairs = [(self.ids[p[:k]], self.ids[p[k:]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
+        self.code = np.full(0x110000, -1, np.int32)  # by code point; blanks are U+2581, a real U+2581 is no piece
+        for p, i in self.ids.items():
+            if len(p) == 1 and p != BLANK:
+                self.code[ord(p)] = i
+        self.code[ord(" ")] = self.ids.get(BLANK, -1)
         self.size = len(rows)
         self.pair = {(a, b): i for a, b, i in pairs}
         bits = max(4, (4 * len(pairs)).bit_length())
@@ -113,8 +118,8 @@ def dropped(key, start, middle, end, limit):
 
 
 def characters(pieces: Pieces, unit: str) -> list[int]:
-    """The pieces of a unit's characters, -1 where there is none; blanks are U+2581, a real U+2581 is never a piece."""
-    return [pieces.ids.get(BLANK if c == " " else c, -1) if c != BLANK else -1 for c in unit]
+    """The pieces of a unit's characters, -1 where there is none."""
+    return [int(pieces.code[ord(c)]) for c in unit]
 
 
 def merge_one(pieces: Pieces, unit: str, key: int, limit: int) -> list[int]:
@@ -149,67 +154,76 @@ def merge_one(pieces: Pieces, unit: str, key: int, limit: int) -> list[int]:
     return out
 
 
-def merge_many(pieces: Pieces, units: list[str], keys: list[int], limit: int) -> list[list[int]]:
-    """merge_one for many short units at once."""
-    out: list[list[int]] = [[]] * len(units)
-    by_width: dict[int, list[int]] = {}
-    for i, u in enumerate(units):
-        by_width.setdefault(next(w for w in (4, 8, 12, 16, 24, 32, SHORT) if len(u) <= w), []).append(i)
-    for width, members in by_width.items():
-        for at in range(0, len(members), 1 << 15):
-            rows = members[at : at + (1 << 15)]
-            _merge_block(pieces, units, keys, limit, rows, width, out)
+def merge_many(pieces: Pieces, units: list[str], keys: list[int], limit: int) -> list[bytes]:
+    """merge_one for many short units at once; little-endian uint32 ids of each."""
+    out = [b""] * len(units)
+    if not units:
+        return out
+    sizes = np.fromiter(map(len, units), np.int64, len(units))
+    starts = np.cumsum(sizes) - sizes
+    ids = pieces.code[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    key = np.fromiter(keys, np.uint64, len(keys))
+    odd = np.logical_or.reduceat(ids < 0, starts)
+    for i in np.flatnonzero(odd).tolist():  # characters without a piece
+        out[i] = np.array(merge_one(pieces, units[i], keys[i], limit), "<u4").tobytes()
+    low = 0
+    for width in (4, 6, 8, 10, 12, 16, 24, 32, SHORT):
+        members = np.flatnonzero((sizes > low) & (sizes <= width) & ~odd)
+        low = width
+        for at in range(0, len(members), 1 << 14):
+            rows = members[at : at + (1 << 14)]
+            done = _merge_block(pieces, ids, starts[rows], sizes[rows], key[rows], limit, width)
+            ends = np.cumsum((done >= 0).sum(1)) * 4
+            flat = done[done >= 0].astype("<u4").tobytes()
+            for i, a, b in zip(rows.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                out[i] = flat[a:b]
     return out
 
 
-def _merge_block(pieces: Pieces, units: list[str], keys: list[int], limit: int, rows: list[int], width: int, out: list[list[int]]) -> None:
-    n = len(rows)
-    sizes = np.array([len(units[i]) for i in rows])
-    ids = np.full((n, width + 1), -2, np.int32)  # -2: past the end
-    inside = np.arange(width + 1) < sizes[:, None]
-    ids[inside] = np.fromiter((x for i in rows for x in characters(pieces, units[i])), np.int32, int(sizes.sum()))
-    ends = np.where(inside, np.arange(1, width + 2), 0).astype(np.int16)
-    key = np.array([keys[i] for i in rows], np.uint64)
+def _merge_block(pieces: Pieces, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key: np.ndarray, limit: int, width: int) -> np.ndarray:
+    """Rows of ids, -2 past their end, of units that are runs of flat."""
+    n = len(starts)
     cols = np.arange(width + 1)
+    inside = cols < sizes[:, None]
+    ids = np.where(inside, flat[np.minimum(starts[:, None] + cols, len(flat) - 1)], -2).astype(np.int32)  # -2: past the end
+    ends = np.where(inside, cols + 1, 0).astype(np.int16)
 
     def candidates(r: np.ndarray, c: np.ndarray, ids: np.ndarray, ends: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         joined = pieces.join(ids[r, c], ids[r, c + 1])
         if limit:
+            some = np.flatnonzero(joined >= 0)
+            r, c = r[some], c[some]
             start = np.where(c > 0, ends[r, c - 1], 0)
-            joined[dropped(key[r], start, ends[r, c], ends[r, c + 1], limit)] = -1
+            joined[some[dropped(key[r], start, ends[r, c], ends[r, c + 1], limit)]] = -1
         return joined, np.where(joined >= 0, pieces.rank[joined], NEVER)
 
-    r, c = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(width), indexing="ij"))
-    joined, rank = (x.reshape(n, width) for x in candidates(r, c, ids, ends, key))
-    who = np.array(rows)
+    r, c = np.nonzero(inside[:, 1:])
+    joined, rank = np.full((n, width), -1, np.int32), np.full((n, width), NEVER, np.int32)
+    joined[r, c], rank[r, c] = candidates(r, c, ids, ends, key)
+    out, who = ids.copy(), np.arange(n)
     while len(who):
         best = rank.argmin(1)
         every = np.arange(len(who))
-        done = rank[every, best] == NEVER
-        if done.any():
-            for i, symbols, spans in zip(who[done].tolist(), ids[done].tolist(), ends[done].tolist(), strict=True):
-                got: list[int] = []
-                for s, e in zip(symbols, spans, strict=True):
-                    if s == -2:
-                        break
-                    got += [s] if s >= 0 else pieces.spell(units[i][e - 1])
-                out[i] = got
-            go = ~done
+        go = rank[every, best] != NEVER
+        if not go.all():
+            out[who[~go]] = ids[~go]
             who, ids, ends, key, joined, rank, best = (x[go] for x in (who, ids, ends, key, joined, rank, best))
-            if not len(who):
-                return
             every = np.arange(len(who))
-        shift = np.minimum(cols + (cols > best[:, None]), width)
+        if not len(who):
+            break
         ids[every, best] = joined[every, best]
         ends[every, best] = ends[every, best + 1]
-        ids, ends = np.take_along_axis(ids, shift, 1), np.take_along_axis(ends, shift, 1)
+        right = cols[:-1] > best[:, None]  # what lies right of the merge moves one to the left
+        ids[:, :-1] = np.where(right, ids[:, 1:], ids[:, :-1])
+        ends[:, :-1] = np.where(right, ends[:, 1:], ends[:, :-1])
         ids[:, -1], ends[:, -1] = -2, 0
-        inner = np.minimum(shift[:, :-1], width - 1)
-        joined, rank = np.take_along_axis(joined, inner, 1), np.take_along_axis(rank, inner, 1)
-        rank[:, -1] = NEVER
+        for x, none in ((joined, -1), (rank, NEVER)):
+            x[:, :-1] = np.where(right[:, :-1], x[:, 1:], x[:, :-1])
+            x[:, -1] = none
         joined[every, best], rank[every, best] = candidates(every, best, ids, ends, key)
         left = np.flatnonzero(best > 0)
         joined[left, best[left] - 1], rank[left, best[left] - 1] = candidates(left, best[left] - 1, ids, ends, key)
+    return out
 
 
 class Encoder:
@@ -235,7 +249,7 @@ class Encoder:
             units -= known.keys()
             short = [u for u in units if len(u) <= SHORT]
             found = merge_many(self.pieces, short, [unit_key(u, self.seed, v) for u in short], self.limit)
-            known.update((u, np.array(i, "<u4").tobytes()) for u, i in zip(short, found, strict=True))
+            known.update(zip(short, found, strict=True))
             long[v] = {u: np.array(merge_one(self.pieces, u, unit_key(u, self.seed, v), self.limit), "<u4").tobytes() for u in units if len(u) > SHORT}
         out: list[bytes | None] = []
         for t, units, v in zip(texts, cut, variants, strict=True):
