@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Operators: DataFrame in, DataFrame out."""

@@ -1,8 +1,9 @@
 """Compressing videos to an exact number of tokens.
 
 Most of a video's budget goes to diverse tokens of each frame; the rest is shared by what remains after merging along
-time, clustered within frames; tokens of high attention fill what is still missing. One lazy plan over all videos: the
-tokens meet by frame once, and everything that reads the selection, or the merged tokens, reads one exchange.
+time, clustered within frames; tokens of high attention fill what is still missing. All videos go through together. What
+later steps read more than once, the marked and the merged tokens, is stored in the shared folder: nothing is computed
+twice, plans stay small, and a lost executor costs the step at hand.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from tokensieve.operators.cluster import cluster_means
 from tokensieve.operators.merge import merged_tokens
 from tokensieve.operators.segment import frame_means, segments
 from tokensieve.operators.select import marked_tokens
+from tokensieve.sources.scratch import stored
 
 OUT = ("video_id", "frame", "token", "vec")
 
@@ -24,11 +26,6 @@ def _failing(column: str, message: str) -> Column:
     return F.when(F.col(column), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
 
 
-def _shared(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt out by keys; all that reads it and needs these keys together shares the exchange."""
-    return df.repartition(*keys)
-
-
 def video_targets(tokens: DataFrame, config: CompressionConfig, target_tokens: int | None = None) -> DataFrame:
     """(video_id, frames, tpf, total, target, diverse): sizes, the target and the diverse selection's share of it.
 
@@ -65,13 +62,13 @@ def compress(tokens: DataFrame, config: CompressionConfig | None = None, target_
 
     frames = some.withColumn("frame", F.explode(F.sequence(F.lit(0), F.col("frames").cast("int") - 1)))
     counts = B.allocate(frames.select("video_id", "frame", F.col("tpf").alias("capacity"), "diverse"), "diverse")
-    marked = _shared(marked_tokens(tokens, counts), "video_id", "frame")
+    marked = stored(marked_tokens(tokens, counts), "marked")
     picked = marked.filter("pick IS NOT NULL").select(*OUT)
     out = whole.select(*OUT).unionByName(picked)
     if config.alpha < 1:
         of_frame = segments(frame_means(marked), config.segment_threshold, config.min_segments)
         available = marked.filter("pick IS NULL").join(of_frame, ["video_id", "frame"]).select(*OUT, "seg_id")
-        merged = _shared(merged_tokens(available, config.temporal_threshold), "video_id", "frame")
+        merged = stored(merged_tokens(available, config.temporal_threshold), "merged")
         rooms = merged.groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("capacity"))
         shares = rooms.join(some.select("video_id", (F.col("target") - F.col("diverse")).alias("_rest")), "video_id")
         shares = shares.withColumn("_share", F.least("_rest", F.sum("capacity").over(Window.partitionBy("video_id"))))

@@ -19,6 +19,7 @@ from tokensieve.operators import segment as S
 from tokensieve.operators import select as P
 from tokensieve.plans import oracles as O
 from tokensieve.sources import requests as Q
+from tokensieve.sources.scratch import stored
 from tokensieve.sources.videos import derived_tokens, derived_videos
 
 FLAGSHIP = "compress_r25"
@@ -155,7 +156,7 @@ def adts_select(spark: SparkSession, sf: str) -> DataFrame:
 
 def _available(spark: SparkSession, sf: str) -> DataFrame:
     tokens = derived_videos(spark, sf)
-    marked = P.marked_tokens(tokens, _counts(tokens)).repartition("video_id", "frame")
+    marked = stored(P.marked_tokens(tokens, _counts(tokens)), "marked")
     return marked.filter("pick IS NULL").join(S.segments(S.frame_means(marked)), ["video_id", "frame"])
 
 

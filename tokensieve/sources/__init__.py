@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Where tables come from, and where intermediate ones go."""

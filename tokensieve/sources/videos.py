@@ -37,11 +37,15 @@ def derived_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derived_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived tokens with the attention that each receives from its frame."""
+    """The derived tokens with the attention that each receives from its frame.
+
+    Stands for a stored table, so its rows (VIDEOS * FRAMES * TOKENS of them) are cached: plans that read them often
+    needn't hold how they came about.
+    """
     tokens = derived_tokens(spark, sf_dir)
     heads = tokens.select("video_id", "frame", F.lit(0).alias("head"), F.col("token").alias("patch"), F.col("vec").alias("q"), F.col("vec").alias("k"))
     weights = received_attention(heads).withColumnRenamed("patch", "token")
-    return tokens.join(weights, ["video_id", "frame", "token"])
+    return tokens.join(weights, ["video_id", "frame", "token"]).cache()
 
 
 def checked_tokens(tokens: DataFrame) -> DataFrame:
