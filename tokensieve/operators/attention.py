@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokensieve.functions.checks import required
+
 FRAME = ("video_id", "frame")
 
 
@@ -49,7 +51,7 @@ def ragged_offsets(grid: DataFrame, total_rows: int | None = None) -> DataFrame:
     out = grid.withColumn("stop", F.sum(size).over(order)).withColumn("start", F.col("stop") - size)
     if total_rows is not None:
         used = F.max("stop").over(Window.partitionBy())
-        out = out.filter(F.when(used == total_rows, F.lit(True)).otherwise(F.raise_error(F.lit("rows are left over or missing")).cast("boolean")))
+        out = out.withColumn("stop", required(F.col("stop"), used == total_rows, "rows are left over or missing"))
     return out.select("video_id", "temporal", "height", "width", "start", "stop")
 
 
@@ -57,4 +59,4 @@ def aligned(tokens: DataFrame, attention: DataFrame) -> DataFrame:
     """tokens with their attention; fails at run time where one side lacks a row."""
     both = tokens.join(attention.withColumn("_there", F.lit(True)), ["video_id", "frame", "token"], "full")
     fine = F.col("_there").isNotNull() & F.col("vec").isNotNull()
-    return both.filter(F.when(fine, F.lit(True)).otherwise(F.raise_error(F.lit("tokens and attention don't match")).cast("boolean"))).drop("_there")
+    return both.withColumn("attention", required(F.col("attention"), fine, "tokens and attention don't match", "double")).drop("_there")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokensieve.functions.checks import required
+
 
 def allocate(capacities: DataFrame, budget: str | int, by: str = "frame") -> DataFrame:
     """(video_id, by, capacity, n): the largest-remainder split of each video's budget in proportion to capacity.
@@ -15,7 +17,7 @@ def allocate(capacities: DataFrame, budget: str | int, by: str = "frame") -> Dat
     video = Window.partitionBy("video_id")
     b = (F.col(budget) if isinstance(budget, str) else F.lit(budget)).cast("long")
     rows = capacities.select("video_id", by, F.col("capacity").cast("long").alias("capacity"), b.alias("_b")).withColumn("_all", F.sum("capacity").over(video))
-    rows = rows.filter(F.when((F.col("_b") >= 0) & (F.col("_b") <= F.col("_all")), F.lit(True)).otherwise(F.raise_error(F.lit("the budget exceeds the capacity")).cast("boolean")))
+    rows = rows.withColumn("_b", required(F.col("_b"), (F.col("_b") >= 0) & (F.col("_b") <= F.col("_all")), "the budget exceeds the capacity"))
     raw = F.when(F.col("_all") > 0, (F.col("_b") * F.col("capacity")).cast("double") / F.greatest("_all", F.lit(1))).otherwise(0.0)
     rows = rows.withColumn("_raw", raw).withColumn("_n", F.least("capacity", F.floor("_raw")))
     rows = rows.withColumn("_left", F.col("_b") - F.sum("_n").over(video))

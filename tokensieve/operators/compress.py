@@ -8,10 +8,11 @@ twice, plans stay small, and a lost executor costs the step at hand.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokensieve.config import CompressionConfig
+from tokensieve.functions.checks import required
 from tokensieve.operators import budget as B
 from tokensieve.operators.cluster import cluster_means
 from tokensieve.operators.merge import merged_tokens
@@ -22,10 +23,6 @@ from tokensieve.sources.scratch import stored
 OUT = ("video_id", "frame", "token", "vec")
 
 
-def _failing(column: str, message: str) -> Column:
-    return F.when(F.col(column), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
-
-
 def video_targets(tokens: DataFrame, config: CompressionConfig, target_tokens: int | None = None) -> DataFrame:
     """(video_id, frames, tpf, total, target, diverse): sizes, the target and the diverse selection's share of it.
 
@@ -34,9 +31,8 @@ def video_targets(tokens: DataFrame, config: CompressionConfig, target_tokens: i
     """
     sizes = tokens.groupBy("video_id").agg((F.max("frame") + 1).cast("long").alias("frames"), (F.max("token") + 1).cast("long").alias("tpf"), F.count(F.lit(1)).alias("total"))
     target = F.lit(target_tokens).cast("long") if target_tokens is not None else B.library_target(F.col("total"), config.retention_ratio)
-    rows = sizes.withColumn("target", target).withColumn("_fine", (F.col("target") >= 1) & (F.col("target") <= F.col("total")))
-    rows = rows.filter(_failing("_fine", "the target must lie between 1 and the number of tokens"))
-    rows = rows.withColumn("_fine", F.col("total") == F.col("frames") * F.col("tpf")).filter(_failing("_fine", "frames must have equally many tokens")).drop("_fine")
+    even = required(target, F.col("total") == F.col("frames") * F.col("tpf"), "frames must have equally many tokens")
+    rows = sizes.withColumn("target", required(even, target.between(1, F.col("total")), "the target must lie between 1 and the number of tokens"))
     return rows.withColumn("diverse", B.diverse_share(F.col("target"), config.alpha))
 
 
@@ -94,8 +90,9 @@ def attention_fill(marked: DataFrame, context: DataFrame, targets: DataFrame) ->
 def asserted(result: DataFrame, targets: DataFrame) -> DataFrame:
     """targets(video_id, total, target) with retained; fails at run time if anchors repeat or the target is missed."""
     found = result.groupBy("video_id").agg(F.count(F.lit(1)).alias("retained"), F.countDistinct("anchor").alias("_distinct"))
-    both = targets.join(found, "video_id", "left").withColumn("_fine", (F.col("retained") == F.col("target")) & (F.col("_distinct") == F.col("target")))
-    return both.filter(_failing("_fine", "anchors repeat, or the target is missed")).select("video_id", "total", "target", "retained")
+    fine = F.coalesce((F.col("retained") == F.col("target")) & (F.col("_distinct") == F.col("target")), F.lit(False))
+    retained = required(F.col("retained"), fine, "anchors repeat, or the target is missed")
+    return targets.join(found, "video_id", "left").select("video_id", "total", "target", retained.alias("retained"))
 
 
 def retention_mask(tokens: DataFrame, result: DataFrame) -> DataFrame:

@@ -365,13 +365,35 @@ def config_grid(spark: SparkSession, sf: str) -> DataFrame:
     return R.config_grid(spark)
 
 
-#: A run for each configuration: failures where the order's status is F, the rate from its price.
-RUNS = "(SELECT (o_orderkey % 24)::INT AS run_no, count(*) FILTER (o_orderkey % 97 = 0) AS failed, max(o_totalprice) AS output_tokens_per_s FROM orders GROUP BY ALL)"
+#: A run for each configuration; some orders' keys stand for failed requests, the dearest order for the rate.
+RUNS = "(SELECT (o_orderkey % 24)::INT AS run_no, count(*) FILTER (o_orderkey % 9973 = 0) AS failed, max(o_totalprice) AS output_tokens_per_s FROM orders GROUP BY ALL)"
 
 
-@query(f"SELECT run_no, failed, output_tokens_per_s, dp, max_num_seqs, max_num_batched_tokens FROM {RUNS} JOIN {CONFIGS} USING (run_no) WHERE failed <= 5 ORDER BY output_tokens_per_s DESC, run_no LIMIT 1")
-def best_run(spark: SparkSession, sf: str) -> DataFrame:
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf}/orders.parquet")
-    runs = orders.groupBy((F.col("o_orderkey") % 24).cast("int").alias("run_no")).agg(F.count_if(F.col("o_orderkey") % 97 == 0).alias("failed"), F.max("o_totalprice").alias("output_tokens_per_s"))
-    tolerated = R.with_config(runs, R.config_grid(spark)).withColumn("_n", F.col("failed")).withColumn("failed", F.greatest(F.col("failed") - 5, F.lit(0)))
-    return R.best_run(tolerated).select("run_no", F.col("_n").alias("failed"), "output_tokens_per_s", "config.*")
+    runs = orders.groupBy((F.col("o_orderkey") % 24).cast("int").alias("run_no"))
+    return runs.agg(F.count_if(F.col("o_orderkey") % 9973 == 0).alias("failed"), F.max("o_totalprice").alias("output_tokens_per_s"))
+
+
+@query(f"SELECT run_no, failed, output_tokens_per_s, dp, max_num_seqs, max_num_batched_tokens FROM {RUNS} JOIN {CONFIGS} USING (run_no) WHERE failed = 0 ORDER BY output_tokens_per_s DESC, run_no LIMIT 1")
+def best_run(spark: SparkSession, sf: str) -> DataFrame:
+    return R.best_run(R.with_config(_runs(spark, sf), R.config_grid(spark))).select("run_no", "failed", "output_tokens_per_s", "config.*")
+
+
+PROMPTS = "(SELECT c_custkey AS request, 'Describe order ' || c_custkey AS prompt, c_custkey % 3 AS kind FROM customer)"
+
+
+@query(
+    "SELECT request, '{\"model\":\"m\",\"messages\":[{\"role\":\"user\",\"content\":[' || "
+    "CASE kind WHEN 1 THEN '{\"type\":\"video_url\",\"video_url\":{\"url\":\"file:///v' || request || '\"}},' WHEN 2 THEN '{\"type\":\"image_url\",\"image_url\":{\"url\":\"file:///i' || request || '\"}},' ELSE '' END || "
+    "'{\"type\":\"text\",\"text\":\"' || prompt || '\"}]}],\"temperature\":0,\"max_tokens\":64}' AS body FROM " + PROMPTS
+)
+def chat_requests(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("c_custkey")
+    prompts = spark.read.parquet(f"{sf}/customer.parquet").select(
+        key.alias("request"),
+        F.concat(F.lit("Describe order "), key.cast("string")).alias("prompt"),
+        F.when(key % 3 == 1, F.array(F.concat(F.lit("file:///v"), key.cast("string")))).alias("videos"),
+        F.when(key % 3 == 2, F.concat(F.lit("file:///i"), key.cast("string"))).alias("image"),
+    )
+    return R.chat_requests(prompts, "m")

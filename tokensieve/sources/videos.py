@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokensieve.functions.checks import required
 from tokensieve.operators.attention import received_attention
 
 #: The derived videos: their number, frames, tokens of a frame and frames of a scene.
@@ -51,4 +52,4 @@ def derived_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checked_tokens(tokens: DataFrame) -> DataFrame:
     """tokens, failing at run time where attention is missing or negative, or a vector is."""
     fine = F.col("attention").isNotNull() & (F.col("attention") >= 0) & F.col("vec").isNotNull()
-    return tokens.filter(F.when(fine, F.lit(True)).otherwise(F.raise_error(F.lit("a token lacks its vector or its attention")).cast("boolean")))
+    return tokens.withColumn("attention", required(F.col("attention"), fine, "a token lacks its vector or its attention", "double"))
