@@ -41,15 +41,24 @@ def sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-def with_locator(docs: DataFrame) -> DataFrame:
-    """docs with _place, each row's place in storage (file and row). Frames that aren't a plain scan are stored first."""
-    place = F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias("_place")
+def _place() -> Column:
+    return F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias("_place")
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """docs, if it reads files and so knows each row's place; else docs stored."""
     try:
-        return docs.select("*", place)
+        docs.select(_place())
+        return docs
     except Exception as e:
         if "UNRESOLVED_COLUMN" not in str(e):
             raise
-    return common.stored(docs, "rows").select("*", place)
+    return common.stored(docs, "rows")
+
+
+def with_locator(docs: DataFrame) -> DataFrame:
+    """docs with _place, each row's place in storage (file and row). Frames that don't read files are stored first."""
+    return scanned(docs).select("*", _place())
 
 
 def keyed_state(spark: SparkSession, path: str, schema: StructType, state_dir: str | None = None) -> DataFrame:
@@ -114,6 +123,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
 def kept_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The row of docs that each group of equal texts keeps; the columns stay."""
+    docs = scanned(docs)
     placed = with_locator(docs)
     dropped = exact_dedup(spark, docs).filter(~F.col("kept")).select("_place")
     return placed.join(dropped, "_place", "left_anti").select(*docs.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokensieve.llm import common
-from tokensieve.llm.exact_dedup import with_locator
+from tokensieve.llm.exact_dedup import scanned, with_locator
 
 #: Hex digits of the key that name a range: 16 ** DIGITS ranges for each source.
 DIGITS = 3
@@ -86,6 +86,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFram
 
     The one document of a source at which the budget is cut is taken whole; documents without words are never taken.
     """
+    docs = scanned(docs)
     placed = with_locator(docs)
     taken = mix(spark, docs, **options).filter("taken > 0").select("_place", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
     out = placed.join(taken, "_place")
