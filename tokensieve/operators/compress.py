@@ -8,7 +8,7 @@ twice, plans stay small, and a lost executor costs the step at hand.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokensieve.config import CompressionConfig
@@ -23,14 +23,16 @@ from tokensieve.sources.scratch import stored
 OUT = ("video_id", "frame", "token", "vec")
 
 
-def video_targets(tokens: DataFrame, config: CompressionConfig, target_tokens: int | None = None) -> DataFrame:
+def video_targets(tokens: DataFrame, config: CompressionConfig, target_tokens: int | Column | None = None) -> DataFrame:
     """(video_id, frames, tpf, total, target, diverse): sizes, the target and the diverse selection's share of it.
 
+    target_tokens: one number for all videos, or an expression over frames, tpf and total, as service_target() makes.
     Frames and tokens are numbered from 0 and every frame has as many tokens as the others, or the query fails; so
     does a target outside 1..total.
     """
     sizes = tokens.groupBy("video_id").agg((F.max("frame") + 1).cast("long").alias("frames"), (F.max("token") + 1).cast("long").alias("tpf"), F.count(F.lit(1)).alias("total"))
-    target = F.lit(target_tokens).cast("long") if target_tokens is not None else B.library_target(F.col("total"), config.retention_ratio)
+    given = target_tokens if isinstance(target_tokens, Column) else F.lit(target_tokens)
+    target = given.cast("long") if target_tokens is not None else B.library_target(F.col("total"), config.retention_ratio)
     even = required(target, F.col("total") == F.col("frames") * F.col("tpf"), "frames must have equally many tokens")
     rows = sizes.withColumn("target", required(even, target.between(1, F.col("total")), "the target must lie between 1 and the number of tokens"))
     return rows.withColumn("diverse", B.diverse_share(F.col("target"), config.alpha))
@@ -42,7 +44,7 @@ def anchored(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.join(tpf, "video_id").select("video_id", (F.col("frame") * F.col("_tpf") + F.col("token")).cast("long").alias("anchor"), "frame", "token", "vec")
 
 
-def compress(tokens: DataFrame, config: CompressionConfig | None = None, target_tokens: int | None = None) -> DataFrame:
+def compress(tokens: DataFrame, config: CompressionConfig | None = None, target_tokens: int | Column | None = None) -> DataFrame:
     """(video_id, anchor, frame, token, vec): exactly the target's number of tokens of each video.
 
     tokens(video_id, frame, token, vec, attention). Selected tokens keep their vector, a cluster's token has the mean

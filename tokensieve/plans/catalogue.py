@@ -20,7 +20,7 @@ from tokensieve.operators import select as P
 from tokensieve.plans import oracles as O
 from tokensieve.sources import requests as Q
 from tokensieve.sources.scratch import stored
-from tokensieve.sources.videos import derived_tokens, derived_videos
+from tokensieve.sources.videos import checked_tokens, derived_tokens, derived_videos
 
 FLAGSHIP = "compress_r25"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,6 +281,17 @@ def _compressed(config: CompressionConfig) -> Query:
 for _name, _ratio, _alpha in (("r100", 1, 0.7), ("r50", 0.5, 0.7), ("r25", 0.25, 0.7), ("r10", 0.1, 0.7), ("alpha0", 0.25, 0.0), ("alpha1", 0.25, 1.0)):
     query(O.compressed(_ratio, _alpha), f"compress_{_name}")(_compressed(CompressionConfig(retention_ratio=_ratio, alpha=_alpha)))
 
+SERVICE = """SELECT video_id, 20::BIGINT AS frames, 20::BIGINT AS tpf, 400::BIGINT AS total, target, least(target, ceil(target::DOUBLE * 0.7::DOUBLE)::BIGINT) AS diverse FROM (
+  SELECT video_id, greatest(20, floor(400::DOUBLE * (1::DOUBLE - (1::DOUBLE - 0.1::DOUBLE)))::BIGINT) AS target FROM range(3) r(video_id))"""
+
+
+@query(O.chain(f"SELECT video_id, (frame * 20 + token)::BIGINT AS anchor, frame, token, {O.DIGEST} FROM retained", "retained", targets=SERVICE))
+def compress_service(spark: SparkSession, sf: str) -> DataFrame:
+    target = B.service_target(F.col("frames"), F.col("tpf"), 0.1)
+    result = C.compress(checked_tokens(derived_videos(spark, sf)), CompressionConfig(), target)
+    return result.select("video_id", "anchor", "frame", "token", *digest(F.col("vec")))
+
+
 FILLING = CompressionConfig(retention_ratio=0.9, alpha=0.3)
 
 
