@@ -7,10 +7,11 @@ one phrase, and phrases are some 2 / (N - K + 2) of the symbols.
 
 Texts are dealt into blocks of bounded size. Then
 
-1. each block parses its texts and sends (trigger, phrase hash, first place) of its distinct phrases to the trigger's
-   bucket; however often a phrase occurs, a block sends it once;
-2. a bucket finds each phrase's first place in the corpus: any other place repeats it whole. Only where different
-   phrases share a trigger can windows repeat that the phrases don't tell; the first places of these go on;
+1. each block parses its texts and sends (trigger, phrase hash, flanks, first place) of its distinct phrases to the
+   trigger's bucket; however often a phrase occurs, a block sends it once;
+2. a bucket finds each phrase's first place in the corpus: any other place repeats it whole. Windows that the phrases
+   don't tell can only repeat where different phrases share a trigger and a flank, for at least half of what a window
+   holds beside the trigger lies left or right of it; the first places of these go on;
 3. their blocks send their symbols to the bucket, the dictionary of what is left open;
 4. the bucket ranks the dictionary's windows and tells the blocks which ones occur earlier;
 5. each block joins all this to the windows of its texts.
@@ -34,7 +35,7 @@ from tokensieve.llm import common
 from tokensieve.llm.shingles import mix, powers
 
 #: Bytes of text in a block and behind a bucket, about.
-BLOCK, BUCKET = 4 << 20, 12 << 20
+BLOCK, BUCKET = 4 << 20, 4 << 20
 _SEGMENT, _PLACE = 1 << 23, np.uint64((1 << 24) - 1)
 NO_ID = -(1 << 63)  # what a null id counts as: less than any other
 
@@ -53,6 +54,9 @@ class Parsed:
     trigger: np.ndarray
     unique: np.ndarray  # of each phrase, the number of its content
     first: np.ndarray  # by that number: the first phrase with the content
+    content: np.ndarray  # of each phrase, the hash of its content
+    left: np.ndarray  # of the trigger and the half before it, if a window of the phrase holds them, or 0
+    right: np.ndarray  # and of the half after it
     by_bucket: list[np.ndarray] = field(default_factory=list)  # by bucket: the numbers it is sent
 
     @property
@@ -74,7 +78,7 @@ def parse(codes: np.ndarray, doc_at: np.ndarray, n: int, k: int, buckets: int) -
     size, w = len(codes), n - k + 1
     none = np.zeros(0, np.int64)
     if size < n:
-        return Parsed(n, doc_at, none, none, none.astype(np.uint64), none, none, [none] * buckets)
+        return Parsed(n, doc_at, none, none, none.astype(np.uint64), none, none, none.astype(np.uint64), none, none, [none] * buckets)
     up, down = powers(size + 1)
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum(codes * up[:size], out=sums[1:])
@@ -103,8 +107,15 @@ def parse(codes: np.ndarray, doc_at: np.ndarray, n: int, k: int, buckets: int) -
     order = np.argsort(first)  # numbers in the order of the text
     number = np.empty(len(order), np.int64)
     number[order] = np.arange(len(order))
-    out = Parsed(n, doc_at, low, high, trigger, number[unique], first[order])
-    out.content = content  # type: ignore[attr-defined]
+
+    def flank(there: np.ndarray, start: np.ndarray) -> np.ndarray:
+        start = start[there]
+        found = np.zeros(len(low), np.uint32)
+        found[there] = (mix((sums[start + k + half] - sums[start]) * down[start]) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        return found
+
+    half, t = (n - k + 1) // 2, at[low]
+    out = Parsed(n, doc_at, low, high, trigger, number[unique], first[order], content, flank(low <= t - half, t - half), flank(high + n >= t + k + half, t))
     to = (trigger[out.first] >> np.uint64(32)) % np.uint64(buckets)
     by = np.argsort(to, kind="stable")
     cut = np.searchsorted(to[by], np.arange(buckets + 1))
@@ -126,7 +137,7 @@ def unpack(data: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-SENT = ("<u4", "<u8", "<i8", "<u4")  # trigger's low half, content, doc id, place in the text
+SENT = ("<u4", "<u8", "<i8", "<u4", "<u4", "<u4")  # trigger's low half, content, doc id, place in the text, flanks
 TOLD = ("<u4", "<u1")  # which of the block's parcel, REPEATED or OPEN
 REPEATED, OPEN = 1, 2
 RUNS = ("<u4", "<u4", "<u4")  # which, first and last window that occur earlier
@@ -138,24 +149,26 @@ def sent(p: Parsed, ids: np.ndarray) -> Iterator[tuple[int, bytes]]:
     for b, numbers in enumerate(p.by_bucket):
         if len(numbers):
             f = p.first[numbers]
-            yield b, pack((p.trigger[f] & np.uint64(0xFFFFFFFF)).astype("<u4"), p.content[f].astype("<u8"), ids[p.doc[f]].astype("<i8"), start[f].astype("<u4"))
+            yield b, pack((p.trigger[f] & np.uint64(0xFFFFFFFF)).astype("<u4"), p.content[f].astype("<u8"), ids[p.doc[f]].astype("<i8"), start[f].astype("<u4"), p.left[f], p.right[f])
 
 
 def told(parcels: list[bytes], within: bool) -> list[bytes]:
     """Step 2: an answer to each parcel. within: whether a place in the same text counts as earlier."""
     columns = [unpack(d, *SENT) for d in parcels]
     sizes = [len(c[0]) for c in columns]
-    trigger, content, ids, start = (np.concatenate([c[i] for c in columns]) for i in range(4))
+    trigger, content, ids, start, left, right = (np.concatenate([c[i] for c in columns]) for i in range(6))
     order = np.lexsort((start, ids, content, trigger))
     t, c, d = trigger[order], content[order], ids[order]
     fresh = np.ones(len(order), bool)
     fresh[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
     leader = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
     repeated = ~fresh if within else d > d[leader]
-    # triggers with several contents
-    group = np.cumsum(np.concatenate(([True], t[1:] != t[:-1]))) - 1 if len(t) else np.zeros(0, np.int64)
-    several = np.bincount(group, fresh)[group] > 1 if len(t) else group.astype(bool)
-    state = np.where(repeated, REPEATED, np.where(several & (fresh if within else ~repeated), OPEN, 0)).astype(np.uint8)
+    open_ = np.zeros(len(order), bool)  # another content shares the trigger and a flank
+    for side in (left[order], right[order]):
+        some = np.flatnonzero(fresh & (side > 0))
+        _, group, n = np.unique((t[some].astype(np.uint64) << np.uint64(32)) | side[some], return_inverse=True, return_counts=True)
+        open_[some] |= n[group] > 1
+    state = np.where(repeated, REPEATED, np.where(open_[leader], OPEN, 0)).astype(np.uint8)
     back = np.empty(len(order), np.uint8)
     back[order] = state
     out, at = [], 0
