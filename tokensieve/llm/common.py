@@ -1,68 +1,21 @@
-"""What the corpus operators share: scratch folders, block sizing and text rules."""
+"""What the corpus operators share: text rules, settings and joins that check sizes."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokensieve.sources.scratch import scratch, stored
+
+__all__ = ["LOWER", "UPPER", "WORD", "documents", "lower_ascii", "partitions", "scratch", "settings", "stored", "without"]
+
 #: Fixed values of the text contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only a local master may run without that setting (tests); it then gets a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tokensieve-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; it is deleted when the process ends or by release()."""
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(release)
-    _made.append((spark, path))
-    return path
-
-
-def release() -> None:
-    """Delete all scratch folders made so far."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            delete(spark, path)
-        except Exception:  # the context may be gone at exit; the folder is then the cluster's to clean
-            return
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it back."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else; null stays null."""
@@ -88,3 +41,18 @@ def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Rows that a join may broadcast, a few MB of keys; counted before.
+BROADCAST_ROWS = 100_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """docs less the rows whose key is in dropped(key).
+
+    Whatever is dropped is stored and counted: if it is small, it is broadcast and the texts stay where they are;
+    else both sides are shuffled.
+    """
+    gone = stored(dropped.select(F.col(key).alias("_gone")).distinct(), "dropped")
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, docs[key] == gone["_gone"], "left_anti")

@@ -23,7 +23,7 @@ from tokensieve.llm import common
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
@@ -124,9 +124,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 def kept_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The row of docs that each group of equal texts keeps; the columns stay."""
     docs = scanned(docs)
-    placed = with_locator(docs)
-    dropped = exact_dedup(spark, docs).filter(~F.col("kept")).select("_place")
-    return placed.join(dropped, "_place", "left_anti").select(*docs.columns)
+    dropped = exact_dedup(spark, docs).filter(~F.col("kept"))
+    return common.without(with_locator(docs), dropped, "_place").select(*docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

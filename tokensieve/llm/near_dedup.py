@@ -231,5 +231,4 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents of which each group keeps one; the columns stay. Rows with a null id stay, for want of a group."""
-    dropped = near_dedup(spark, docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"))
-    return docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
+    return common.without(docs, near_dedup(spark, docs).filter(~F.col("kept")), "doc_id")
