@@ -29,7 +29,7 @@ SHARD = 1 << 20
 
 def _symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h, at, _, _ = word_hashes(texts, lower=False)
-    return h, h, at
+    return h.copy(), h, at
 
 
 def automata(passages: dict[str, int]) -> Iterator[ahocorasick.Automaton]:

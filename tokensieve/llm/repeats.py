@@ -35,8 +35,8 @@ from tokensieve.llm import common
 from tokensieve.llm.shingles import mix, powers
 
 #: Bytes of text in a block and behind a bucket, about.
-BLOCK, BUCKET = 4 << 20, 4 << 20
-_SEGMENT, _PLACE = 1 << 23, np.uint64((1 << 24) - 1)
+BLOCK, BUCKET = 2 << 20, 4 << 20
+_SEGMENT, _PLACE = 1 << 19, np.uint64((1 << 24) - 1)
 NO_ID = -(1 << 63)  # what a null id counts as: less than any other
 
 #: Rows between blocks and buckets: packed columns for one block and bucket.
@@ -74,34 +74,37 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def parse(codes: np.ndarray, doc_at: np.ndarray, n: int, k: int, buckets: int) -> Parsed:
-    """codes: a 64-bit code of each symbol of the block."""
+    """codes: a 64-bit code of each symbol of the block; they are overwritten.
+
+    What is kept for each symbol is a sum of 8 bytes and a place of 4; hashes are made segment by segment.
+    """
     size, w = len(codes), n - k + 1
     none = np.zeros(0, np.int64)
     if size < n:
         return Parsed(n, doc_at, none, none, none.astype(np.uint64), none, none, none.astype(np.uint64), none, none, [none] * buckets)
     up, down = powers(size + 1)
     sums = np.zeros(size + 1, np.uint64)
-    np.cumsum(codes * up[:size], out=sums[1:])
-    grams = mix((sums[k:] - sums[:-k]) * down[: size - k + 1])
-    at = np.empty(size - n + 1, np.int64)
+    np.cumsum(np.multiply(codes, up[:size], out=codes), out=sums[1:])
+    at = np.empty(size - n + 1, np.int32)
     for o in range(0, len(at), _SEGMENT):
-        part = grams[o : o + _SEGMENT + w - 1]
-        keyed = (part & ~_PLACE) | np.arange(len(part), dtype=np.uint64)
-        at[o : o + _SEGMENT] = (window_minimum(keyed, w) & _PLACE).astype(np.int64)[: len(at) - o] + o
-    whole = np.zeros(size + 1, bool)
+        m = min(_SEGMENT, len(at) - o)
+        grams = mix((sums[o + k : o + k + m + w - 1] - sums[o : o + m + w - 1]) * down[o : o + m + w - 1])
+        keyed = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+        at[o : o + m] = (window_minimum(keyed, w) & _PLACE).astype(np.int32) + o
     lengths = np.diff(doc_at)
     fit = lengths >= n
     steps = np.zeros(size + 1, np.int32)
     np.add.at(steps, doc_at[:-1][fit], 1)
     np.add.at(steps, (doc_at[1:] - n + 1)[fit], -1)
-    whole = np.cumsum(steps)[: len(at)] > 0
+    whole = np.cumsum(steps, dtype=np.int32)[: len(at)] > 0
     new = whole.copy()
     new[1:] &= (at[1:] != at[:-1]) | ~whole[:-1]
     low = np.flatnonzero(new)
     last = whole.copy()
     last[:-1] &= new[1:] | ~whole[1:]
     high = np.flatnonzero(last)
-    trigger = grams[at[low]]
+    t = at[low].astype(np.int64)
+    trigger = mix((sums[t + k] - sums[t]) * down[t])
     content = mix((sums[high + n] - sums[low]) * down[low] + (high - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + trigger)
     _, first, unique = np.unique(content, return_index=True, return_inverse=True)
     order = np.argsort(first)  # numbers in the order of the text
@@ -114,7 +117,7 @@ def parse(codes: np.ndarray, doc_at: np.ndarray, n: int, k: int, buckets: int) -
         found[there] = (mix((sums[start + k + half] - sums[start]) * down[start]) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         return found
 
-    half, t = (n - k + 1) // 2, at[low]
+    half = (n - k + 1) // 2
     out = Parsed(n, doc_at, low, high, trigger, number[unique], first[order], content, flank(low <= t - half, t - half), flank(high + n >= t + k + half, t))
     to = (trigger[out.first] >> np.uint64(32)) % np.uint64(buckets)
     by = np.argsort(to, kind="stable")

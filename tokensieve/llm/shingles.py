@@ -33,7 +33,7 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers and inverse powers modulo 2**64, n at least."""
     if len(_powers["up"]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = -(-n >> 19) << 19
         for name, step in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             x = np.full(size, step, np.uint64)
             x[0] = 1
