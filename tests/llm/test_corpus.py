@@ -169,6 +169,26 @@ def test_near_dedup_of_a_large_group(spark):
     assert {i: r["component_id"] for i, r in got.items()} == want
 
 
+def test_near_dedup_of_stars(spark):
+    """Copies with scattered edits that link to their original alone, which has the greatest id; more than a block."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for star, (copies, edits) in enumerate(((700, 7), (150, 8))):
+        base = prose(rng, 300).split()
+        for i in range(copies):
+            w = base.copy()
+            for at in rng.choice(np.arange(5, 295, 10), edits, replace=False):
+                w[at] = f"x{star}y{i}z{at}"
+            rows.append((10_000 * star + i, " ".join(w)))
+        rows.append((10_000 * star + 9_999, " ".join(base)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = groups_of(links, sets)
+    assert set(want.values()) == {0, 10_000} and len(links) < 2 * len(rows)
+    got = by_id(near_dedup.near_dedup(spark, frame(spark, rows, extra=False)))
+    assert {i: r["component_id"] for i, r in got.items()} == want
+
+
 def test_near_dedup_of_odd_rows(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, ""), (3, None)]
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_dedup(spark, frame(spark, rows)).collect()), key=str)

@@ -4,15 +4,17 @@ Documents with equal shingle sets are one node. A node's signature holds COLUMNS
 sorts all nodes by another order of those columns (a range sort over tree, label and node, so equal labels don't meet
 in one task). In a sorted order nodes with a common prefix stand together; a region is a run that agrees in its first
 BASE columns. Small regions are taken whole; in a large one the depth adapts: every node is a candidate with those
-neighbours with which it shares the longest prefixes, which the sort puts beside it. A pair that is similar enough
-to link keeps a long common prefix in many of the trees, and is found in all but a vanishing share of cases: at a
-similarity of 0.75 a pair shares BASE columns in a tree with probability 0.316, and in none of TREES with 5e-6.
+neighbours with which it shares the longest prefixes, which the sort puts beside it. That joins most of a large
+region cheaply, but not all of it: copies that link to one text and not to each other needn't stand beside it. So
+every large region that still holds more than one component is then compared whole, block against block, on full
+sets. At a similarity of 0.75 a pair shares BASE columns in a tree with probability 0.316, and in none of TREES with
+5e-6.
 
 A task sees regions only as far as its range reaches; a region that a range boundary cuts is cut elsewhere in the
 other trees.
 
 Candidates whose sketches rule out a link (five standard deviations) go; the others are confirmed on full sets: first
-each node with its best candidate, then what those links leave in different components.
+each node with its best candidate, then what those links leave in different components, then the large regions.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ WORDS, PERCENT = 5, 75
 COLUMNS, TREES, BASE, DEPTH = 128, 32, 4, 12
 #: Regions up to this size are taken whole; in larger ones a node meets this many neighbours of the sorted order.
 WHOLE, NEIGHBOURS = 8, 3
+#: Nodes of a block of a large region; a task holds two blocks.
+BLOCK = 512
 #: Columns of a sketch agree in their two bits with probability s + (1 - s) / 4.
 LEAST_SKETCH = 0.52
 
@@ -185,6 +189,67 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_confirmed, "x long, y long")
 
 
+def links_between(left: list[np.ndarray], right: list[np.ndarray], of_left: np.ndarray, of_right: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links (place in left, place in right) between sets of different components.
+
+    of_left and of_right number the components; a pair that earlier links connect isn't compared.
+    """
+    of_left, of_right = of_left.copy(), of_right.copy()
+    sizes = np.array([len(s) for s in right])
+    out: list[tuple[int, int]] = []
+    for at in np.split(np.arange(len(right)), np.flatnonzero(np.diff(np.cumsum(sizes) // 2_000_000)) + 1):
+        items = np.concatenate([right[j] for j in at])
+        order = items.argsort(kind="stable")
+        items, owner = items[order], np.repeat(np.arange(len(at)), sizes[at])[order]
+        for i, s in enumerate(left):
+            n = sizes[at]
+            use = (of_right[at] != of_left[i]) & (100 * np.minimum(n, len(s)) >= PERCENT * np.maximum(n, len(s)))
+            if not use.any():
+                continue
+            low, high = items.searchsorted(s, "left"), items.searchsorted(s, "right")
+            many = high - low
+            found = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            same = np.bincount(owner[found], minlength=len(at))
+            for j in at[use & (100 * same >= PERCENT * (n + len(s) - same))].tolist():
+                if of_right[j] != of_left[i]:
+                    out.append((i, j))
+                    gone = of_right[j]
+                    of_right[of_right == gone] = of_left[i]
+                    of_left[of_left == gone] = of_left[i]
+    return out
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """(x, y) from the rows (i, j, block, node, component, items) of two blocks, or of one if i = j."""
+    block, nodes = table.column("block").to_numpy(), table.column("node").to_numpy()
+    sets = [np.frombuffer(v.as_buffer(), "<u8") for v in table.column("items")]
+    of = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+    a, b = (np.flatnonzero(block == table.column(k)[0].as_py()) for k in ("i", "j"))
+    links = links_between([sets[k] for k in a], [sets[k] for k in b], of[a], of[b]) if len(a) and len(b) else []
+    return pa.table({"x": pa.array([nodes[a[i]] for i, _ in links], pa.int64()), "y": pa.array([nodes[b[j]] for _, j in links], pa.int64())})
+
+
+def large_region_links(nodes: DataFrame, tops: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (x, y) that connect the components (tops) in every region of more than WHOLE nodes.
+
+    Regions that are one component already, or have the same nodes as another, needn't be read again. A region's nodes
+    are dealt to blocks by hash, and each pair of blocks is a group of its own, so no task holds a region; pairs never
+    become rows, only a spanning forest of each group does.
+    """
+    labels = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring(F.col("signature"), t * (BASE * 2) + 1, F.lit(BASE * 2)))
+    known = nodes.join(tops.select(F.col("id").alias("node"), "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "signature")
+    members = known.select("node", "component", F.posexplode(labels).alias("tree", "base"))
+    found = members.groupBy("tree", "base").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("print"), F.min("component").alias("low"), F.max("component").alias("high"))
+    regions = found.filter((F.col("size") > WHOLE) & (F.col("low") != F.col("high"))).dropDuplicates(["size", "print"])
+    regions = common.stored(regions.select("tree", "base", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "regions")
+    members = common.stored(members.join(regions, ["tree", "base"]), "members")
+    sets = common.stored(texts.join(members.select(F.col("node").alias("id")).distinct(), "id").select("id", "text").mapInArrow(_sets, "node long, items binary"), "sets")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("tree", "base", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
+    return dealt.join(sets, "node").groupBy("tree", "base", "i", "j").applyInArrow(_block_links, "x long, y long")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id, kept.
 
@@ -217,7 +282,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     rest = rest.join(parts.select(F.col("id").alias("y"), F.col("component").alias("cy")), "y", "left")
     rest = rest.filter("coalesce(cx, x) != coalesce(cy, y)").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     more = common.stored(confirmed(rest, sets), "links")
-    tops = common.stored(components(links.union(more).toDF("a", "b")), "tops")
+    links = links.union(more)
+    tops = common.stored(components(links.toDF("a", "b")), "tops")
+    with common.settings(spark, BLOOM):
+        last = common.stored(large_region_links(nodes, tops, texts), "links")
+    if not last.isEmpty():
+        tops = common.stored(components(links.union(last).toDF("a", "b")), "tops")
 
     of_node = nodes.join(tops, nodes["node"] == tops["id"], "left").select(F.col("set").alias("node"), F.coalesce("component", nodes["node"]).alias("component_id"))
     rows = seen.select("id", "n_shingles", "node").join(of_node, "node", "left")
