@@ -6,7 +6,7 @@ last return the columns of documents. run() writes every stage as Parquet in the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokensieve.llm import common, exact_dedup, mixing, near_dedup, quality, subword
@@ -33,8 +33,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and ids of each row, segmented with merge-dropout."""
-    encoded = subword.encode(spark, docs, keep=("lang", "source"))
+    """doc_id, lang, source, n_tokens and ids of each row, segmented with merge-dropout.
+
+    The mix repeats a row for each epoch; the copies are numbered here, so that each epoch has its own segmentation.
+    """
+    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang")
+    numbered = docs.select("doc_id", "lang", "source", "text", F.row_number().over(copies).alias("_epoch"))
+    encoded = subword.encode(spark, numbered, keep=("lang", "source"), copy_col="_epoch")
     return encoded.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids")
 
 

@@ -391,6 +391,31 @@ def test_dropout_is_lossless_and_columns_equal_the_heap(pieces, rate):
     assert subword.merge_many(pieces, units, keys, encoder.limit) == [np.array(subword.merge_one(pieces, u, k, encoder.limit), "<u4").tobytes() for u, k in zip(units, keys, strict=True)]
 
 
+def test_dropout_varies_with_each_occurrence(pieces):
+    """A word has many segmentations, and remembered merges give what the heap gives with the same key."""
+    n = 2000
+    encoder = subword.Encoder(pieces, 0.1)
+    word, texts = " international", ["international" + " international" * (n - 1)] * 2
+    for _ in range(2):  # the second time from memory
+        got = encoder.encode(texts, [5, 6])
+        want = []
+        for start in (5, 6):
+            keys = encoder.keys([word] * n, np.full(n, start, np.uint64), np.arange(n))
+            want.append([np.array(subword.merge_one(pieces, word, int(k), encoder.limit), "<u4").tobytes() for k in keys])
+        assert got == [b"".join(w) for w in want]
+    assert len(set(want[0])) > 8 and want[0] != want[1]
+
+
+def test_epochs_are_segmented_anew(spark, pieces):
+    import corpus_pipeline
+
+    text = prose(np.random.default_rng(3), 200)
+    docs = spark.createDataFrame([(1, text, "en", "a", 0)] * 3 + [(2, text, "en", "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = corpus_pipeline.encode_tokens(spark, docs, "").collect()
+    assert len({tuple(r["ids"]) for r in rows}) == 4
+    assert {subword.decode_ids(pieces, r["ids"]) for r in rows} == {text}
+
+
 def test_dropout_varies_with_the_seed(pieces):
     text = [prose(np.random.default_rng(1), 300)]
     a, b, c, d = (subword.Encoder(pieces, 0.1, s).encode(text, [v])[0] for s, v in ((1, 0), (1, 0), (2, 0), (1, 1)))

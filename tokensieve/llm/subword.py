@@ -2,12 +2,13 @@
 
 A text is spaced as the model wants it (a leading blank, blanks as U+2581) and cut into units that no merge can
 cross. Inside a unit the best pair (highest score, then leftmost) merges first, again and again. With dropout, a
-candidate merge is skipped when a hash keyed by seed, variant, unit and the candidate's place is below the rate:
-the same key always gives the same segmentation, another seed or variant gives another one, and all of them decode
-to the same text. Each document draws its variants from its id, and successive units take turns among them.
+candidate merge is skipped when a hash keyed by seed, document, the unit's place in it, unit and the candidate's place
+is below the rate: the same key always gives the same segmentation, another seed, document, copy of a document or
+place gives another one, and all of them decode to the same text.
 
-Units are merged once and remembered; new units of a batch are merged together, one step of the agenda at a time
-for all of them, as columns in numpy. Long units go through a heap.
+Merges without dropout are remembered, with the candidates that they met. Where the key skips none of those, the unit
+is what it is without dropout; all others of a batch are merged together, one step of the agenda at a time for all of
+them, as columns in numpy. Long units go through a heap.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +31,10 @@ from tokensieve.llm import common
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 7
-VARIANTS = 4
-#: Units up to this many characters are merged as columns and remembered, in at most CACHED entries.
+#: Units up to this many characters are merged as columns; repeated ones are remembered, in at most CACHED entries.
 SHORT, CACHED = 64, 400_000
+#: Units whose candidates are hashed at once.
+HASHED = 1 << 16
 #: Units: blanks with the word after them, or runs of line feeds, or blanks alone. The model has no piece that joins a line feed to anything.
 UNIT = re.compile(r" *[^ \n]+|\n+| +")
 BLANK = "▁"
@@ -122,15 +125,19 @@ def characters(pieces: Pieces, unit: str) -> list[int]:
     return [int(pieces.code[ord(c)]) for c in unit]
 
 
-def merge_one(pieces: Pieces, unit: str, key: int, limit: int) -> list[int]:
-    """The ids of a unit, by a heap of candidates."""
+def merge_one(pieces: Pieces, unit: str, key: int, limit: int, met: list[int] | None = None) -> list[int]:
+    """The ids of a unit, by a heap of candidates. met gets each candidate's place as dropped() adds it to a key."""
     ids = characters(pieces, unit)
     n = len(ids)
     end, before, after, alive = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
     heap: list[tuple[int, int, int, int, int]] = []
 
     def offer(a: int, b: int) -> None:
-        if a < 0 or b >= n or (m := pieces.pair.get((ids[a], ids[b]))) is None or dropped(key, a, end[a], end[b], limit):
+        if a < 0 or b >= n or (m := pieces.pair.get((ids[a], ids[b]))) is None:
+            return
+        if met is not None:
+            met.append((a * 0x9E3779B97F4A7C15 + end[a] * 0xC2B2AE3D27D4EB4F + end[b] * 0x165667B19E3779F9) & M64)
+        if dropped(key, a, end[a], end[b], limit):
             return
         heapq.heappush(heap, (int(pieces.rank[m]), a, end[a], end[b], m))
 
@@ -227,38 +234,60 @@ def _merge_block(pieces: Pieces, flat: np.ndarray, starts: np.ndarray, sizes: np
 
 
 class Encoder:
-    """Encodes texts; one per process. Memory: the model and at most CACHED remembered units."""
+    """Encodes texts; one per process. Memory: the model and at most CACHED remembered units, each merged without dropout."""
 
-    def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
-        self.pieces, self.seed, self.variants = pieces, seed, variants if dropout else 1
+    def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED):
+        self.pieces, self.seed = pieces, seed
         self.limit = int(dropout * 2**64)
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def encode(self, texts: list[str | None], variants: list[int]) -> list[bytes | None]:
-        """Ids as little-endian uint32 for each text; variants: where each text starts among the variants."""
+        self.known: dict[str, int] = {}
+        #: By the number of a known unit: its ids without dropout, the places of the candidates met.
+        self.plain: list[bytes] = []
+        self.met: list[bytes] = []
+
+    def keys(self, units: list[str], starts: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The key of each unit at its place in the document that starts names."""
+        own = np.fromiter((unit_key(u, self.seed, 0) for u in units), np.uint64, len(units))
+        return mix(own + mix(starts + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+    def learn(self, units: list[str]) -> None:
+        if len(self.known) + len(units) > CACHED:
+            self.known.clear()
+            self.plain.clear()
+            self.met.clear()
+        for u in units:
+            met: list[int] = []
+            ids = merge_one(self.pieces, u, 0, 0, met)
+            self.known[u] = len(self.plain)
+            self.plain.append(np.array(ids, "<u4").tobytes())
+            self.met.append(np.array(met, np.uint64).tobytes())
+
+    def encode(self, texts: list[str | None], starts: list[int]) -> list[bytes | None]:
+        """Ids as little-endian uint32 for each text; starts: the key of each document, of 64 bits."""
         cut = [UNIT.findall(" " + t) if t else [] for t in texts]
-        if sum(map(len, self.known)) > CACHED:
-            for k in self.known:
-                k.clear()
-        new: list[set[str]] = [set() for _ in self.known]
-        for units, v in zip(cut, variants, strict=True):
-            for k in range(self.variants):
-                new[(v + k) % self.variants].update(units[k :: self.variants])
-        long: list[dict[str, bytes]] = [{} for _ in self.known]
-        for v, (units, known) in enumerate(zip(new, self.known, strict=True)):
-            units -= known.keys()
-            short = [u for u in units if len(u) <= SHORT]
-            found = merge_many(self.pieces, short, [unit_key(u, self.seed, v) for u in short], self.limit)
-            known.update(zip(short, found, strict=True))
-            long[v] = {u: np.array(merge_one(self.pieces, u, unit_key(u, self.seed, v), self.limit), "<u4").tobytes() for u in units if len(u) > SHORT}
-        out: list[bytes | None] = []
-        for t, units, v in zip(texts, cut, variants, strict=True):
-            parts: list[bytes] = [b""] * len(units)
-            for k in range(self.variants):
-                known, extra = self.known[(v + k) % self.variants], long[(v + k) % self.variants]
-                parts[k :: self.variants] = [known[u] if u in known else extra[u] for u in units[k :: self.variants]] if extra else map(known.__getitem__, units[k :: self.variants])
-            out.append(b"".join(parts) if t is not None else None)
-        return out
+        units = [u for c in cut for u in c]
+        many = Counter(units)
+        # known units of this batch may go when the memory is full, so they are asked for after that
+        self.learn([u for u, n in many.items() if n > 1 and u not in self.known and len(u) <= SHORT][:CACHED])
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        ends = np.cumsum(sizes)
+        document = np.repeat(np.fromiter((v & M64 for v in starts), np.uint64, len(cut)), sizes)
+        key = self.keys(units, document, np.arange(len(units)) - np.repeat(ends - sizes, sizes))
+        number = np.fromiter((self.known.get(u, -1) for u in units), np.int64, len(units))
+        parts = [self.plain[k] if k >= 0 else b"" for k in number.tolist()]
+        again = number < 0
+        for at in range(0, len(units) if self.limit else 0, HASHED):
+            found = [self.met[k] if k >= 0 else b"" for k in number[at : at + HASHED].tolist()]
+            owner = np.repeat(np.arange(at, at + len(found)), np.fromiter(map(len, found), np.int64, len(found)) // 8)
+            skipped = mix(key[owner] + np.frombuffer(b"".join(found), np.uint64)) < np.uint64(min(self.limit, M64))
+            again[owner[skipped]] = True
+        todo = np.flatnonzero(again).tolist()
+        short = [i for i in todo if len(units[i]) <= SHORT]
+        for i, ids in zip(short, merge_many(self.pieces, [units[i] for i in short], key[short].tolist(), self.limit), strict=True):
+            parts[i] = ids
+        for i in todo:
+            if len(units[i]) > SHORT:
+                parts[i] = np.array(merge_one(self.pieces, units[i], int(key[i]), self.limit), "<u4").tobytes()
+        return [b"".join(parts[e - n : e]) if t is not None else None for t, n, e in zip(texts, sizes.tolist(), ends.tolist(), strict=True)]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -290,16 +319,18 @@ def groups(texts: list[str | None], most: int = 1 << 21) -> Iterator[slice]:
         yield slice(at, len(texts))
 
 
-def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), dropout: float = DROPOUT, seed: int = SEED, model: str = MODEL) -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), dropout: float = DROPOUT, seed: int = SEED, model: str = MODEL, copy_col: str | None = None) -> DataFrame:
     """id_col, the columns of keep, and ids (array of int) for each row of docs.
 
-    A null text has null ids, an empty one an empty array. Rows with one id and text get the same ids; a null id
-    counts as the empty one. Other columns aren't read. The pieces (some 32,000 strings) are broadcast from the
+    A null text has null ids, an empty one an empty array. Rows with one id and text get the same ids, unless copy_col
+    names the column that numbers the copies (epochs) of a document; the first, 1, gets what it gets without copy_col.
+    A null id counts as the empty one. Other columns aren't read. The pieces (some 32,000 strings) are broadcast from the
     driver, so executors need no file of the model.
     """
     shared = spark.sparkContext.broadcast(Pieces.load(model))
     columns = [id_col, *keep]
-    rows = docs.select(*columns, F.col(text_col).cast("string").alias("_text"))
+    copy = F.col(copy_col).cast("long") if copy_col else F.lit(1).cast("long")
+    rows = docs.select(*columns, F.col(text_col).cast("string").alias("_text"), copy.alias("_copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(shared.value, dropout, seed)
@@ -307,7 +338,8 @@ def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
             all_texts = whole.column(len(columns)).to_pylist()
             for part in groups(all_texts):
                 batch = whole.slice(part.start, part.stop - part.start)
-                starts = [int.from_bytes(hashlib.blake2b(f"{seed}:{i}".encode(), digest_size=4).digest(), "little") for i in batch.column(0).to_pylist()]
+                named = zip(batch.column(0).to_pylist(), batch.column(len(columns) + 1).to_pylist(), strict=True)
+                starts = [int.from_bytes(hashlib.blake2b(f"{seed}:{i}:{n}".encode(), digest_size=8).digest(), "little") for i, n in named]
                 found = encoder.encode(all_texts[part], starts)
                 sizes = np.cumsum([0, *(len(x or b"") // 4 for x in found)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(x or b"" for x in found), "<u4").astype(np.int32))
