@@ -388,7 +388,7 @@ def test_dropout_is_lossless_and_columns_equal_the_heap(pieces, rate):
     assert [None if g is None else subword.decode_ids(pieces, np.frombuffer(g, "<u4").tolist()) if t else "" for g, t in zip(got, texts, strict=True)] == texts
     units = sorted({u for t in texts if t for u in subword.UNIT.findall(" " + t) if len(u) <= subword.SHORT})
     keys = [subword.unit_key(u, 7, 1) for u in units]
-    assert subword.merge_many(pieces, units, keys, encoder.limit) == [np.array(subword.merge_one(pieces, u, k, encoder.limit), "<u4").tobytes() for u, k in zip(units, keys, strict=True)]
+    assert subword.merge_many(pieces, units, lambda numbers, places: subword.dropped(np.array(keys, np.uint64)[numbers], places, encoder.limit)) == [np.array(subword.merge_keyed(pieces, u, k, encoder.limit), "<u4").tobytes() for u, k in zip(units, keys, strict=True)]
 
 
 def test_dropout_varies_with_each_occurrence(pieces):
@@ -401,11 +401,28 @@ def test_dropout_varies_with_each_occurrence(pieces):
         want = []
         for start in (5, 6):
             keys = encoder.keys([word] * n, np.full(n, start, np.uint64), np.arange(n))
-            want.append([np.array(subword.merge_one(pieces, word, int(k), encoder.limit), "<u4").tobytes() for k in keys])
+            want.append([np.array(subword.merge_keyed(pieces, word, int(k), encoder.limit), "<u4").tobytes() for k in keys])
         assert got == [b"".join(w) for w in want]
     assert len(set(want[0])) > 8 and want[0] != want[1]
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.4, 0.9])
+def test_remembered_states_equal_the_heap(pieces, rate):
+    """Whole texts, time and again, from a memory that fills and is emptied: each unit is what its own key makes it."""
+    texts = [t for _, t in corpus(5) if t]
+    encoder = subword.Encoder(pieces, rate)
+    for turn in range(4):
+        starts = [1000 * turn + i for i in range(len(texts))]
+        got = encoder.encode(texts, starts)
+        for t, start, ids in list(zip(texts, starts, got, strict=True))[:: 3 if turn else 1]:
+            units = subword.UNIT.findall(" " + t)
+            keys = encoder.keys(units, np.full(len(units), start, np.uint64), np.arange(len(units)))
+            assert ids == b"".join(np.array(subword.merge_keyed(pieces, u, int(k), encoder.limit), "<u4").tobytes() for u, k in zip(units, keys, strict=True))
+        if turn == 2:
+            assert encoder.children
+            encoder.forget()
+
+
 def test_epochs_are_segmented_anew(spark, pieces):
     import corpus_pipeline
 

@@ -6,9 +6,11 @@ candidate merge is skipped when a hash keyed by seed, document, the unit's place
 is below the rate: the same key always gives the same segmentation, another seed, document, copy of a document or
 place gives another one, and all of them decode to the same text.
 
-Merges without dropout are remembered, with the candidates that they met. Where the key skips none of those, the unit
-is what it is without dropout; all others of a batch are merged together, one step of the agenda at a time for all of
-them, as columns in numpy. Long units go through a heap.
+Merges are remembered as a tree of states for each unit. The root is the merge without dropout, with the candidates
+that it met. If the key skips none of them, the unit is what the state says. Otherwise the skipped ones lead to a child,
+the merge that skips just these, with the candidates that it met besides; and so on, until the key skips nothing new.
+That gives each occurrence exactly what its own key gives, with a few look-ups. What is met for the first time is merged
+together, one step of the agenda at a time for all units of a batch, as columns in numpy. Long units go through a heap.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import hashlib
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,11 @@ from tokensieve.llm import common
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 7
-#: Units up to this many characters are merged as columns; repeated ones are remembered, in at most CACHED entries.
-SHORT, CACHED = 64, 400_000
+#: Units up to this many characters are merged as columns; repeated ones are remembered. From CACHED states on the
+#: memory is emptied before the next batch, which adds at most a state for each of its units.
+SHORT, CACHED, ONCE = 64, 300_000, 1 << 22
+#: A state with more candidates than this has no children: bits of a word name the skipped ones.
+CHOICES = 63
 #: Units whose candidates are hashed at once.
 HASHED = 1 << 16
 #: Units: blanks with the word after them, or runs of line feeds, or blanks alone. The model has no piece that joins a line feed to anything.
@@ -112,11 +117,17 @@ def unit_key(unit: str, seed: int, variant: int) -> int:
     return xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), (seed * 0x10001 + variant) & M64)
 
 
-def dropped(key, start, middle, end, limit):
-    """Whether the candidate that joins [start, middle) and [middle, end) is skipped. limit: the rate times 2**64."""
+def place_of(start, middle, end):
+    """Names the candidate that joins [start, middle) and [middle, end) of a unit; ints or arrays of uint64."""
+    if isinstance(start, int):
+        return (start * 0x9E3779B97F4A7C15 + middle * 0xC2B2AE3D27D4EB4F + end * 0x165667B19E3779F9) & M64
+    return start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + middle.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + end.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+
+
+def dropped(key, place, limit: int):
+    """Whether the key skips the candidate. limit: the rate times 2**64."""
     if isinstance(key, int):
-        return mix((key + start * 0x9E3779B97F4A7C15 + middle * 0xC2B2AE3D27D4EB4F + end * 0x165667B19E3779F9) & M64) < limit
-    place = start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + middle.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + end.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+        return mix((key + place) & M64) < limit
     return mix(key + place) < np.uint64(min(limit, M64))
 
 
@@ -125,8 +136,8 @@ def characters(pieces: Pieces, unit: str) -> list[int]:
     return [int(pieces.code[ord(c)]) for c in unit]
 
 
-def merge_one(pieces: Pieces, unit: str, key: int, limit: int, met: list[int] | None = None) -> list[int]:
-    """The ids of a unit, by a heap of candidates. met gets each candidate's place as dropped() adds it to a key."""
+def merge_one(pieces: Pieces, unit: str, skips: Callable[[int], bool], met: list[int] | None = None) -> list[int]:
+    """The ids of a unit, by a heap of candidates, those left out that skips says. met gets the place of each candidate."""
     ids = characters(pieces, unit)
     n = len(ids)
     end, before, after, alive = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
@@ -135,11 +146,11 @@ def merge_one(pieces: Pieces, unit: str, key: int, limit: int, met: list[int] |
     def offer(a: int, b: int) -> None:
         if a < 0 or b >= n or (m := pieces.pair.get((ids[a], ids[b]))) is None:
             return
+        place = place_of(a, end[a], end[b])
         if met is not None:
-            met.append((a * 0x9E3779B97F4A7C15 + end[a] * 0xC2B2AE3D27D4EB4F + end[b] * 0x165667B19E3779F9) & M64)
-        if dropped(key, a, end[a], end[b], limit):
-            return
-        heapq.heappush(heap, (int(pieces.rank[m]), a, end[a], end[b], m))
+            met.append(place)
+        if not skips(place):
+            heapq.heappush(heap, (int(pieces.rank[m]), a, end[a], end[b], m))
 
     for i in range(n - 1):
         offer(i, i + 1)
@@ -161,25 +172,37 @@ def merge_one(pieces: Pieces, unit: str, key: int, limit: int, met: list[int] |
     return out
 
 
-def merge_many(pieces: Pieces, units: list[str], keys: list[int], limit: int) -> list[bytes]:
-    """merge_one for many short units at once; little-endian uint32 ids of each."""
+def merge_keyed(pieces: Pieces, unit: str, key: int, limit: int) -> list[int]:
+    """merge_one with the candidates skipped that the key skips."""
+    return merge_one(pieces, unit, lambda place: dropped(key, place, limit))
+
+
+#: skips(numbers of units, places) -> which candidates are left out.
+Skips = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def merge_many(pieces: Pieces, units: list[str], skips: Skips, met: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
+    """merge_one for many short units at once; little-endian uint32 ids of each. met gets (numbers of units, places)."""
     out = [b""] * len(units)
     if not units:
         return out
     sizes = np.fromiter(map(len, units), np.int64, len(units))
     starts = np.cumsum(sizes) - sizes
     ids = pieces.code[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
-    key = np.fromiter(keys, np.uint64, len(keys))
     odd = np.logical_or.reduceat(ids < 0, starts)
     for i in np.flatnonzero(odd).tolist():  # characters without a piece
-        out[i] = np.array(merge_one(pieces, units[i], keys[i], limit), "<u4").tobytes()
+        places: list[int] = []
+        found = merge_one(pieces, units[i], lambda place, i=i: bool(skips(np.array([i]), np.array([place], np.uint64))[0]), places)
+        out[i] = np.array(found, "<u4").tobytes()
+        if met is not None:
+            met.append((np.full(len(places), i), np.array(places, np.uint64)))
     low = 0
     for width in (4, 6, 8, 10, 12, 16, 24, 32, SHORT):
         members = np.flatnonzero((sizes > low) & (sizes <= width) & ~odd)
         low = width
         for at in range(0, len(members), 1 << 14):
             rows = members[at : at + (1 << 14)]
-            done = _merge_block(pieces, ids, starts[rows], sizes[rows], key[rows], limit, width)
+            done = _merge_block(pieces, ids, starts[rows], sizes[rows], rows, skips, met, width)
             ends = np.cumsum((done >= 0).sum(1)) * 4
             flat = done[done >= 0].astype("<u4").tobytes()
             for i, a, b in zip(rows.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
@@ -187,7 +210,7 @@ def merge_many(pieces: Pieces, units: list[str], keys: list[int], limit: int) ->
     return out
 
 
-def _merge_block(pieces: Pieces, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key: np.ndarray, limit: int, width: int) -> np.ndarray:
+def _merge_block(pieces: Pieces, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, skips: Skips, met: list | None, width: int) -> np.ndarray:
     """Rows of ids, -2 past their end, of units that are runs of flat."""
     n = len(starts)
     cols = np.arange(width + 1)
@@ -195,18 +218,20 @@ def _merge_block(pieces: Pieces, flat: np.ndarray, starts: np.ndarray, sizes: np
     ids = np.where(inside, flat[np.minimum(starts[:, None] + cols, len(flat) - 1)], -2).astype(np.int32)  # -2: past the end
     ends = np.where(inside, cols + 1, 0).astype(np.int16)
 
-    def candidates(r: np.ndarray, c: np.ndarray, ids: np.ndarray, ends: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def candidates(r: np.ndarray, c: np.ndarray, ids: np.ndarray, ends: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         joined = pieces.join(ids[r, c], ids[r, c + 1])
-        if limit:
-            some = np.flatnonzero(joined >= 0)
-            r, c = r[some], c[some]
-            start = np.where(c > 0, ends[r, c - 1], 0)
-            joined[some[dropped(key[r], start, ends[r, c], ends[r, c + 1], limit)]] = -1
+        some = np.flatnonzero(joined >= 0)
+        r, c = r[some], c[some]
+        place = place_of(np.where(c > 0, ends[r, c - 1], 0), ends[r, c], ends[r, c + 1])
+        number = numbers[who[r]]
+        if met is not None:
+            met.append((number, place))
+        joined[some[skips(number, place)]] = -1
         return joined, np.where(joined >= 0, pieces.rank[joined], NEVER)
 
     r, c = np.nonzero(inside[:, 1:])
     joined, rank = np.full((n, width), -1, np.int32), np.full((n, width), NEVER, np.int32)
-    joined[r, c], rank[r, c] = candidates(r, c, ids, ends, key)
+    joined[r, c], rank[r, c] = candidates(r, c, ids, ends, np.arange(n))
     out, who = ids.copy(), np.arange(n)
     while len(who):
         best = rank.argmin(1)
@@ -214,7 +239,7 @@ def _merge_block(pieces: Pieces, flat: np.ndarray, starts: np.ndarray, sizes: np
         go = rank[every, best] != NEVER
         if not go.all():
             out[who[~go]] = ids[~go]
-            who, ids, ends, key, joined, rank, best = (x[go] for x in (who, ids, ends, key, joined, rank, best))
+            who, ids, ends, joined, rank, best = (x[go] for x in (who, ids, ends, joined, rank, best))
             every = np.arange(len(who))
         if not len(who):
             break
@@ -227,66 +252,139 @@ def _merge_block(pieces: Pieces, flat: np.ndarray, starts: np.ndarray, sizes: np
         for x, none in ((joined, -1), (rank, NEVER)):
             x[:, :-1] = np.where(right[:, :-1], x[:, 1:], x[:, :-1])
             x[:, -1] = none
-        joined[every, best], rank[every, best] = candidates(every, best, ids, ends, key)
+        joined[every, best], rank[every, best] = candidates(every, best, ids, ends, who)
         left = np.flatnonzero(best > 0)
-        joined[left, best[left] - 1], rank[left, best[left] - 1] = candidates(left, best[left] - 1, ids, ends, key)
+        joined[left, best[left] - 1], rank[left, best[left] - 1] = candidates(left, best[left] - 1, ids, ends, who)
+    return out
+
+
+def padded(rows: list[bytes]) -> np.ndarray:
+    """The places of each row as a matrix, 0 (which names no candidate) to fill."""
+    n = np.fromiter(map(len, rows), np.int64, len(rows)) // 8
+    out = np.zeros((len(rows), int(n.max(initial=0))), np.uint64)
+    out[np.arange(out.shape[1]) < n[:, None]] = np.frombuffer(b"".join(rows), np.uint64)
     return out
 
 
+def among(table: np.ndarray, numbers: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether each place stands in the row of table that numbers names."""
+    return (table[numbers] == places[:, None]).any(1)
+
+
 class Encoder:
-    """Encodes texts; one per process. Memory: the model and at most CACHED remembered units, each merged without dropout."""
+    """Encodes texts; one per process. Memory: the model and the remembered states."""
 
     def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED):
         self.pieces, self.seed = pieces, seed
         self.limit = int(dropout * 2**64)
-        self.known: dict[str, int] = {}
-        #: By the number of a known unit: its ids without dropout, the places of the candidates met.
-        self.plain: list[bytes] = []
+        self.forget()
+
+    def forget(self) -> None:
+        self.roots: dict[str, int] = {}
+        #: (state, bits of the skipped ones of its candidates) -> state.
+        self.children: dict[tuple[int, int], int] = {}
+        #: By state: the unit and its hash, ids, places of the candidates met first here, those met before, those skipped.
+        self.unit: list[str] = []
+        self.own: list[int] = []
+        self.ids: list[bytes] = []
         self.met: list[bytes] = []
+        self.known: list[bytes] = []
+        self.left: list[bytes] = []
+        #: By hash, what was asked for once; a clash only means that something is remembered the first time.
+        self.once = bytearray(ONCE)
 
     def keys(self, units: list[str], starts: np.ndarray, places: np.ndarray) -> np.ndarray:
         """The key of each unit at its place in the document that starts names."""
-        own = np.fromiter((unit_key(u, self.seed, 0) for u in units), np.uint64, len(units))
+        return self.placed(np.fromiter((unit_key(u, self.seed, 0) for u in units), np.uint64, len(units)), starts, places)
+
+    @staticmethod
+    def placed(own: np.ndarray, starts: np.ndarray, places: np.ndarray) -> np.ndarray:
         return mix(own + mix(starts + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
+    def worth(self, wanted: Counter) -> list:
+        """Those asked for a second time."""
+        again = []
+        for x, n in wanted.items():
+            at = hash(x) % ONCE
+            if n > 1 or self.once[at]:
+                again.append(x)
+            else:
+                self.once[at] = 1
+        return again
+
+    def add(self, units: list[str], own: list[int], known: list[bytes], left: list[bytes]) -> range:
+        """New states: units merged without the candidates of left."""
+        first, table, old, met = len(self.ids), padded(left), padded(known), []
+        self.ids += merge_many(self.pieces, units, lambda numbers, places: among(table, numbers, places), met)
+        numbers, places = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        new = ~among(old, numbers, places)
+        numbers, places = numbers[new], places[new]
+        order = np.argsort(numbers, kind="stable")
+        cut = np.searchsorted(numbers[order], np.arange(len(units) + 1)) * 8
+        flat = places[order].tobytes()
+        self.met += [flat[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
+        self.unit += units
+        self.own += own
+        self.known += known
+        self.left += left
+        return range(first, len(self.ids))
+
     def learn(self, units: list[str]) -> None:
-        if len(self.known) + len(units) > CACHED:
-            self.known.clear()
-            self.plain.clear()
-            self.met.clear()
-        for u in units:
-            met: list[int] = []
-            ids = merge_one(self.pieces, u, 0, 0, met)
-            self.known[u] = len(self.plain)
-            self.plain.append(np.array(ids, "<u4").tobytes())
-            self.met.append(np.array(met, np.uint64).tobytes())
+        none = [b""] * len(units)
+        self.roots.update(zip(units, self.add(units, [unit_key(u, self.seed, 0) for u in units], none, none), strict=True))
+
+    def branch(self, pairs: list[tuple[int, int]]) -> None:
+        left = [self.left[at] + b"".join([self.met[at][8 * i : 8 * i + 8] for i in range(bits.bit_length()) if bits >> i & 1]) for at, bits in pairs]
+        known = [self.known[at] + self.met[at] for at, _ in pairs]
+        self.children.update(zip(pairs, self.add([self.unit[at] for at, _ in pairs], [self.own[at] for at, _ in pairs], known, left), strict=True))
+
+    def skipped(self, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bits of the state's candidates that each key skips, whether there are too many to say)."""
+        bits, many = np.zeros(len(state), np.uint64), np.zeros(len(state), bool)
+        for at in range(0, len(state), HASHED):
+            found = [self.met[k] for k in state[at : at + HASHED].tolist()]
+            n = np.fromiter(map(len, found), np.int64, len(found)) // 8
+            owner = np.repeat(np.arange(len(found)), n)
+            hit = np.flatnonzero(dropped(key[at : at + HASHED][owner], np.frombuffer(b"".join(found), np.uint64), self.limit))
+            which = hit - (np.cumsum(n) - n)[owner[hit]]
+            np.bitwise_or.at(bits[at : at + HASHED], owner[hit], np.uint64(1) << (which % 64).astype(np.uint64))
+            many[at : at + HASHED] = n > CHOICES
+        return bits, many
 
     def encode(self, texts: list[str | None], starts: list[int]) -> list[bytes | None]:
         """Ids as little-endian uint32 for each text; starts: the key of each document, of 64 bits."""
+        if len(self.ids) > CACHED:
+            self.forget()
         cut = [UNIT.findall(" " + t) if t else [] for t in texts]
         units = [u for c in cut for u in c]
-        many = Counter(units)
-        # known units of this batch may go when the memory is full, so they are asked for after that
-        self.learn([u for u, n in many.items() if n > 1 and u not in self.known and len(u) <= SHORT][:CACHED])
+        find = self.roots.get
+        self.learn(self.worth(Counter(u for u in units if u not in self.roots and len(u) <= SHORT)))
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
         ends = np.cumsum(sizes)
         document = np.repeat(np.fromiter((v & M64 for v in starts), np.uint64, len(cut)), sizes)
-        key = self.keys(units, document, np.arange(len(units)) - np.repeat(ends - sizes, sizes))
-        number = np.fromiter((self.known.get(u, -1) for u in units), np.int64, len(units))
-        parts = [self.plain[k] if k >= 0 else b"" for k in number.tolist()]
-        again = number < 0
-        for at in range(0, len(units) if self.limit else 0, HASHED):
-            found = [self.met[k] if k >= 0 else b"" for k in number[at : at + HASHED].tolist()]
-            owner = np.repeat(np.arange(at, at + len(found)), np.fromiter(map(len, found), np.int64, len(found)) // 8)
-            skipped = mix(key[owner] + np.frombuffer(b"".join(found), np.uint64)) < np.uint64(min(self.limit, M64))
-            again[owner[skipped]] = True
-        todo = np.flatnonzero(again).tolist()
+        state = np.fromiter((find(u, -1) for u in units), np.int64, len(units))
+        own = np.fromiter((self.own[k] if k >= 0 else unit_key(units[i], self.seed, 0) for i, k in enumerate(state.tolist())), np.uint64, len(units))
+        key = self.placed(own, document, np.arange(len(units)) - np.repeat(ends - sizes, sizes))
+        again = [np.flatnonzero(state < 0)]
+        at = np.flatnonzero(state >= 0) if self.limit else again[0][:0]
+        while len(at):
+            bits, many = self.skipped(state[at], key[at])
+            again.append(at[many & (bits > 0)])
+            some = (bits > 0) & ~many
+            at, pairs = at[some], list(zip(state[at[some]].tolist(), bits[some].tolist(), strict=True))
+            self.branch(self.worth(Counter(p for p in pairs if p not in self.children)))
+            to = np.fromiter((self.children.get(p, -1) for p in pairs), np.int64, len(pairs))
+            again.append(at[to < 0])
+            at = at[to >= 0]
+            state[at] = to[to >= 0]
+        parts = [self.ids[k] if k >= 0 else b"" for k in state.tolist()]
+        todo = np.concatenate(again).tolist()
         short = [i for i in todo if len(units[i]) <= SHORT]
-        for i, ids in zip(short, merge_many(self.pieces, [units[i] for i in short], key[short].tolist(), self.limit), strict=True):
+        for i, ids in zip(short, merge_many(self.pieces, [units[i] for i in short], lambda numbers, places, own=key[short]: dropped(own[numbers], places, self.limit)), strict=True):
             parts[i] = ids
         for i in todo:
             if len(units[i]) > SHORT:
-                parts[i] = np.array(merge_one(self.pieces, units[i], int(key[i]), self.limit), "<u4").tobytes()
+                parts[i] = np.array(merge_keyed(self.pieces, units[i], int(key[i]), self.limit), "<u4").tobytes()
         return [b"".join(parts[e - n : e]) if t is not None else None for t, n, e in zip(texts, sizes.tolist(), ends.tolist(), strict=True)]
 
 
