@@ -35,11 +35,11 @@ DROPOUT = 0.1
 SEED = 7
 #: Units up to this many characters are merged as columns; repeated ones are remembered. From CACHED states on the
 #: memory is emptied before the next batch, which adds at most a state for each of its units.
-SHORT, CACHED, ONCE = 64, 300_000, 1 << 22
+SHORT, CACHED, ONCE = 64, 100_000, 1 << 21
 #: A state with more candidates than this has no children: bits of a word name the skipped ones.
 CHOICES = 63
 #: Units whose candidates are hashed at once.
-HASHED = 1 << 16
+HASHED = 1 << 15
 #: Units: blanks with the word after them, or runs of line feeds, or blanks alone. The model has no piece that joins a line feed to anything.
 UNIT = re.compile(r" *[^ \n]+|\n+| +")
 BLANK = "▁"
@@ -400,12 +400,16 @@ def encoder_for(pieces: Pieces, dropout: float, seed: int) -> Encoder:
     return _encoders[key]
 
 
+def spelled(raw: list[bytes], ids: list[int]) -> str:
+    """The text of ids; raw: the bytes of each piece."""
+    return b"".join([raw[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+
+
 def decode_ids(pieces: Pieces, ids: list[int]) -> str:
-    raw = b"".join([pieces.raw[i] for i in ids])
-    return raw.decode("utf-8", "surrogatepass")[1:]
+    return spelled(pieces.raw, ids)
 
 
-def groups(texts: list[str | None], most: int = 1 << 21) -> Iterator[slice]:
+def groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[slice]:
     """Runs of texts of about so many characters, so that a batch's units stay few."""
     at = held = 0
     for i, t in enumerate(texts):
@@ -451,17 +455,17 @@ def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
 
 def decode(spark: SparkSession, encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", model: str = MODEL) -> DataFrame:
     """The columns of keep and the text of each row's ids; null ids give a null text."""
-    shared = spark.sparkContext.broadcast(Pieces.load(model))
+    shared = spark.sparkContext.broadcast(Pieces.load(model).raw)
     rows = encoded.select(*keep, F.col(ids_col).alias("_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
+        raw = shared.value
         for batch in batches:
             lists = batch.column(len(keep))
             flat, at = lists.flatten().to_numpy(), 0
             texts: list[str | None] = []
             for n in lists.value_lengths().to_pylist():
-                texts.append(None if n is None else decode_ids(pieces, flat[at : at + n].tolist()) if n else "")
+                texts.append(None if n is None else spelled(raw, flat[at : at + n].tolist()) if n else "")
                 at += n or 0
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, "text"])
 
