@@ -387,7 +387,8 @@ def test_dropout_is_lossless_and_columns_equal_the_heap(pieces, rate):
     got = encoder.encode(texts, list(range(len(texts))))
     assert [None if g is None else subword.decode_ids(pieces, np.frombuffer(g, "<u4").tolist()) if t else "" for g, t in zip(got, texts, strict=True)] == texts
     units = sorted({u for t in texts if t for u in subword.UNIT.findall(" " + t) if len(u) <= subword.SHORT})
-    keys = [subword.unit_key(u, 7, 1) for u in units]
+    keys = subword.unit_keys(units, 7).tolist()
+    assert len(set(keys)) == len(units)
     assert subword.merge_many(pieces, units, lambda numbers, places: subword.dropped(np.array(keys, np.uint64)[numbers], places, encoder.limit)) == [np.array(subword.merge_keyed(pieces, u, k, encoder.limit), "<u4").tobytes() for u, k in zip(units, keys, strict=True)]
 
 

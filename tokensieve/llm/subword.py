@@ -20,6 +20,7 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ DROPOUT = 0.1
 SEED = 7
 #: Units up to this many characters are merged as columns; repeated ones are remembered. From CACHED states on the
 #: memory is emptied before the next batch, which adds at most a state for each of its units.
-SHORT, CACHED, ONCE = 64, 100_000, 1 << 21
+SHORT, CACHED, ONCE = 64, 150_000, 1 << 21
 #: A state with more candidates than this has no children: bits of a word name the skipped ones.
 CHOICES = 63
 #: Units whose candidates are hashed at once.
@@ -113,8 +114,23 @@ class Pieces:
         return [self.bytes[b] for b in symbol.encode("utf-8", "surrogatepass")]
 
 
-def unit_key(unit: str, seed: int, variant: int) -> int:
-    return xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), (seed * 0x10001 + variant) & M64)
+_CODES = mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_PLACES = mix(np.arange(1, SHORT + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+
+
+def unit_keys(units: list[str], seed: int) -> np.ndarray:
+    """A hash of each unit: its characters' codes times the multipliers of their places, summed up and mixed."""
+    out = np.zeros(len(units), np.uint64)
+    for at in range(0, len(units), HASHED):
+        part = units[at : at + HASHED]
+        sizes = np.fromiter(map(len, part), np.int64, len(part))
+        starts = np.cumsum(sizes) - sizes
+        code = _CODES[np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        place = np.arange(len(code)) - np.repeat(starts, sizes)
+        out[at : at + HASHED] = np.add.reduceat(code * _PLACES[place % SHORT], starts) + sizes.astype(np.uint64)
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            out[at + i] = xxhash.xxh64_intdigest(part[i].encode("utf-8", "surrogatepass"))
+    return mix(out + np.uint64(seed * 0xD6E8FEB86659FD93 & M64))
 
 
 def place_of(start, middle, end):
@@ -211,51 +227,52 @@ def merge_many(pieces: Pieces, units: list[str], skips: Skips, met: list[tuple[n
 
 
 def _merge_block(pieces: Pieces, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, skips: Skips, met: list | None, width: int) -> np.ndarray:
-    """Rows of ids, -2 past their end, of units that are runs of flat."""
-    n = len(starts)
-    cols = np.arange(width + 1)
+    """Rows of ids, -2 between and after them, of units that are runs of flat.
+
+    A piece stands where its first character does; end says where the next one stands, before where the last one does.
+    Tables are rows of width + 1 places, addressed by row * (width + 1) + place.
+    """
+    n, wide = len(starts), width + 1
+    cols = np.arange(wide)
     inside = cols < sizes[:, None]
-    ids = np.where(inside, flat[np.minimum(starts[:, None] + cols, len(flat) - 1)], -2).astype(np.int32)  # -2: past the end
-    ends = np.where(inside, cols + 1, 0).astype(np.int16)
-
-    def candidates(r: np.ndarray, c: np.ndarray, ids: np.ndarray, ends: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        joined = pieces.join(ids[r, c], ids[r, c + 1])
-        some = np.flatnonzero(joined >= 0)
-        r, c = r[some], c[some]
-        place = place_of(np.where(c > 0, ends[r, c - 1], 0), ends[r, c], ends[r, c + 1])
-        number = numbers[who[r]]
+    ids = np.where(inside, flat[np.minimum(starts[:, None] + cols, len(flat) - 1)], -2).astype(np.int32).ravel()
+    end = np.tile(cols + 1, n)
+    before = np.tile(cols - 1, n)
+    joined, rank = np.full(n * wide, -1, np.int32), np.full(n * wide, NEVER, np.int32)
+
+    def offer(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """Set joined and rank of the pieces at a, each with the piece at b after it."""
+        at, base = row * wide + a, row * wide
+        new = pieces.join(ids[at], ids[base + b])
+        some = np.flatnonzero(new >= 0)
+        place, number = place_of(a[some], b[some], end[base[some] + b[some]]), numbers[row[some]]
         if met is not None:
             met.append((number, place))
-        joined[some[skips(number, place)]] = -1
-        return joined, np.where(joined >= 0, pieces.rank[joined], NEVER)
-
-    r, c = np.nonzero(inside[:, 1:])
-    joined, rank = np.full((n, width), -1, np.int32), np.full((n, width), NEVER, np.int32)
-    joined[r, c], rank[r, c] = candidates(r, c, ids, ends, np.arange(n))
-    out, who = ids.copy(), np.arange(n)
-    while len(who):
-        best = rank.argmin(1)
-        every = np.arange(len(who))
-        go = rank[every, best] != NEVER
-        if not go.all():
-            out[who[~go]] = ids[~go]
-            who, ids, ends, joined, rank, best = (x[go] for x in (who, ids, ends, joined, rank, best))
-            every = np.arange(len(who))
-        if not len(who):
-            break
-        ids[every, best] = joined[every, best]
-        ends[every, best] = ends[every, best + 1]
-        right = cols[:-1] > best[:, None]  # what lies right of the merge moves one to the left
-        ids[:, :-1] = np.where(right, ids[:, 1:], ids[:, :-1])
-        ends[:, :-1] = np.where(right, ends[:, 1:], ends[:, :-1])
-        ids[:, -1], ends[:, -1] = -2, 0
-        for x, none in ((joined, -1), (rank, NEVER)):
-            x[:, :-1] = np.where(right[:, :-1], x[:, 1:], x[:, :-1])
-            x[:, -1] = none
-        joined[every, best], rank[every, best] = candidates(every, best, ids, ends, who)
-        left = np.flatnonzero(best > 0)
-        joined[left, best[left] - 1], rank[left, best[left] - 1] = candidates(left, best[left] - 1, ids, ends, who)
-    return out
+        new[some[skips(number, place)]] = -1
+        joined[at] = new
+        rank[at] = np.where(new >= 0, pieces.rank[new], NEVER)
+
+    row, first = np.nonzero(inside[:, 1:])
+    offer(row, first, first + 1)
+    table, row = rank.reshape(n, wide), np.arange(n)
+    while len(row):
+        a = table[row].argmin(1)
+        go = rank[row * wide + a] != NEVER
+        row, a = row[go], a[go]
+        base = row * wide
+        at = base + a
+        b = end[at]
+        ids[at] = joined[at]
+        end[at] = c = end[base + b]
+        ids[base + b], rank[base + b] = -2, NEVER
+        more = c < sizes[row]
+        rank[at[~more]] = NEVER
+        before[(base + c)[more]] = a[more]
+        offer(row[more], a[more], c[more])
+        left = before[at]
+        some = left >= 0
+        offer(row[some], left[some], a[some])
+    return ids.reshape(n, wide)
 
 
 def padded(rows: list[bytes]) -> np.ndarray:
@@ -283,9 +300,8 @@ class Encoder:
         self.roots: dict[str, int] = {}
         #: (state, bits of the skipped ones of its candidates) -> state.
         self.children: dict[tuple[int, int], int] = {}
-        #: By state: the unit and its hash, ids, places of the candidates met first here, those met before, those skipped.
+        #: By state: the unit, ids, places of the candidates met first here, those met before, those skipped.
         self.unit: list[str] = []
-        self.own: list[int] = []
         self.ids: list[bytes] = []
         self.met: list[bytes] = []
         self.known: list[bytes] = []
@@ -295,11 +311,7 @@ class Encoder:
 
     def keys(self, units: list[str], starts: np.ndarray, places: np.ndarray) -> np.ndarray:
         """The key of each unit at its place in the document that starts names."""
-        return self.placed(np.fromiter((unit_key(u, self.seed, 0) for u in units), np.uint64, len(units)), starts, places)
-
-    @staticmethod
-    def placed(own: np.ndarray, starts: np.ndarray, places: np.ndarray) -> np.ndarray:
-        return mix(own + mix(starts + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        return mix(unit_keys(units, self.seed) + mix(starts + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
     def worth(self, wanted: Counter) -> list:
         """Those asked for a second time."""
@@ -312,7 +324,7 @@ class Encoder:
                 self.once[at] = 1
         return again
 
-    def add(self, units: list[str], own: list[int], known: list[bytes], left: list[bytes]) -> range:
+    def add(self, units: list[str], known: list[bytes], left: list[bytes]) -> range:
         """New states: units merged without the candidates of left."""
         first, table, old, met = len(self.ids), padded(left), padded(known), []
         self.ids += merge_many(self.pieces, units, lambda numbers, places: among(table, numbers, places), met)
@@ -324,19 +336,18 @@ class Encoder:
         flat = places[order].tobytes()
         self.met += [flat[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
         self.unit += units
-        self.own += own
         self.known += known
         self.left += left
         return range(first, len(self.ids))
 
     def learn(self, units: list[str]) -> None:
         none = [b""] * len(units)
-        self.roots.update(zip(units, self.add(units, [unit_key(u, self.seed, 0) for u in units], none, none), strict=True))
+        self.roots.update(zip(units, self.add(units, none, none), strict=True))
 
     def branch(self, pairs: list[tuple[int, int]]) -> None:
         left = [self.left[at] + b"".join([self.met[at][8 * i : 8 * i + 8] for i in range(bits.bit_length()) if bits >> i & 1]) for at, bits in pairs]
         known = [self.known[at] + self.met[at] for at, _ in pairs]
-        self.children.update(zip(pairs, self.add([self.unit[at] for at, _ in pairs], [self.own[at] for at, _ in pairs], known, left), strict=True))
+        self.children.update(zip(pairs, self.add([self.unit[at] for at, _ in pairs], known, left), strict=True))
 
     def skipped(self, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bits of the state's candidates that each key skips, whether there are too many to say)."""
@@ -357,14 +368,14 @@ class Encoder:
             self.forget()
         cut = [UNIT.findall(" " + t) if t else [] for t in texts]
         units = [u for c in cut for u in c]
-        find = self.roots.get
-        self.learn(self.worth(Counter(u for u in units if u not in self.roots and len(u) <= SHORT)))
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
         ends = np.cumsum(sizes)
         document = np.repeat(np.fromiter((v & M64 for v in starts), np.uint64, len(cut)), sizes)
-        state = np.fromiter((find(u, -1) for u in units), np.int64, len(units))
-        own = np.fromiter((self.own[k] if k >= 0 else unit_key(units[i], self.seed, 0) for i, k in enumerate(state.tolist())), np.uint64, len(units))
-        key = self.placed(own, document, np.arange(len(units)) - np.repeat(ends - sizes, sizes))
+        key = self.keys(units, document, np.arange(len(units)) - np.repeat(ends - sizes, sizes))
+        state = np.fromiter(map(self.roots.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(state < 0).tolist()
+        self.learn(self.worth(Counter([units[i] for i in new if len(units[i]) <= SHORT])))
+        state[new] = np.fromiter((self.roots.get(units[i], -1) for i in new), np.int64, len(new))
         again = [np.flatnonzero(state < 0)]
         at = np.flatnonzero(state >= 0) if self.limit else again[0][:0]
         while len(at):
@@ -372,8 +383,10 @@ class Encoder:
             again.append(at[many & (bits > 0)])
             some = (bits > 0) & ~many
             at, pairs = at[some], list(zip(state[at[some]].tolist(), bits[some].tolist(), strict=True))
-            self.branch(self.worth(Counter(p for p in pairs if p not in self.children)))
-            to = np.fromiter((self.children.get(p, -1) for p in pairs), np.int64, len(pairs))
+            to = np.fromiter(map(self.children.get, pairs, repeat(-1)), np.int64, len(pairs))
+            new = np.flatnonzero(to < 0).tolist()
+            self.branch(self.worth(Counter([pairs[i] for i in new])))
+            to[new] = np.fromiter((self.children.get(pairs[i], -1) for i in new), np.int64, len(new))
             again.append(at[to < 0])
             at = at[to >= 0]
             state[at] = to[to >= 0]
