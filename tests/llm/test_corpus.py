@@ -554,3 +554,37 @@ def test_catalogue():
     assert [n.split("_")[0] for n in catalogue.queries()] == [f"op{i}" for i in range(1, 11)]
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
     assert list(shingles.shingle_sets([b"", b"A b", b"a B"], 5))[0].size == 0
+
+
+CLASHING = ("_copy", "_copies", "_place", "_metadata", "_gone", "_id", "_k0", "_t", "_f", "score", "kept", "taken", "size", "keep_id", "component_id", "digest", "node", "bucket")
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_stages_keep_columns_of_any_name(spark, tmp_path, stored):
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    text = prose(np.random.default_rng(8), 30)
+    rows = [(1, text, "a"), (2, text, "a"), (2, text, "a"), (None, "null id", None), (3, None, "a"), (4, "other words " * 9, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce("source", F.lit("none"))) for c in CLASHING})
+    if stored:
+        docs.write.parquet(str(tmp_path / "docs.parquet"))
+        docs = spark.read.parquet(str(tmp_path / "docs.parquet"))
+    stages = {
+        "quality": (lambda d: quality.kept_documents(spark, d, str(tmp_path)), 6),
+        "exact": (lambda d: exact_dedup.kept_documents(spark, d), 4),
+        "near": (lambda d: near_dedup.kept_documents(spark, d), 4),
+        "mix": (lambda d: mixing.mixed_documents(spark, d), None),
+    }
+    for name, (stage, n) in stages.items():
+        got = stage(docs)
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert (len(found) == n if n else len(found) >= 5), name
+        assert all(r[c] == f"{c} of {r['source'] or 'none'}" for r in found for c in CLASHING)
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, "abc", x) for i, x in enumerate("xyz")], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="3 languages"):
+        language.train(docs)
+    assert language.train(docs.filter("lang != 'z'"))[0] == ["x", "y"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tokensieve.sources.scratch import scratch, stored
 
-__all__ = ["LOWER", "UPPER", "WORD", "documents", "lower_ascii", "partitions", "scratch", "settings", "stored", "without"]
+__all__ = ["LOWER", "UPPER", "WORD", "documents", "lower_ascii", "partitions", "renamed", "restored", "scratch", "settings", "stored", "without"]
 
 #: Fixed values of the text contracts.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +43,17 @@ def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with names that no operator uses for its own columns, and the new name of each column."""
+    names = {c: f"_k{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def restored(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that renamed() renamed, under their names again."""
+    return docs.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 #: Rows that a join may broadcast, a few MB of keys; counted before.
 BROADCAST_ROWS = 100_000
 

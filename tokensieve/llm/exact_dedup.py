@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 from tokensieve.llm import common
 
@@ -73,8 +73,10 @@ def keyed_state(spark: SparkSession, path: str, schema: StructType, state_dir: s
         query = kept.writeStream.outputMode("update").format("noop").option("checkpointLocation", at).trigger(availableNow=True).start()
         query.awaitTermination()
     state = spark.read.format("statestore").load(at)
-    value = state.schema["value"].dataType.names  # the aggregate's buffers, in the order of its functions
-    return state.select(F.col("key.digest"), F.col(f"value.{value[-2]}").alias("keeper"), F.col(f"value.{value[-1]}").alias("group_size"))
+    value = state.schema["value"].dataType
+    # the value holds the aggregate's buffers: the only struct is the greatest (id, _place), the only long the count
+    of = {type(f.dataType): f.name for f in value.fields if f.name != "digest"}
+    return state.select(F.col("key.digest"), F.col("value")[of[StructType]].alias("keeper"), F.col("value")[of[LongType]].alias("group_size"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None, digest=sha256) -> DataFrame:
@@ -122,10 +124,15 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
 
 def kept_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The row of docs that each group of equal texts keeps; the columns stay."""
-    docs = scanned(docs)
-    dropped = exact_dedup(spark, docs).filter(~F.col("kept"))
-    return common.without(with_locator(docs), dropped, "_place").select(*docs.columns)
+    """The row of docs that each group of equal texts keeps; the columns stay, whatever their names.
+
+    Null texts count as empty and are a group of their own, of which one row stays; so does one of repeated rows. An
+    empty table gives an empty result.
+    """
+    plain, names = common.renamed(docs)
+    plain = scanned(plain)
+    dropped = exact_dedup(spark, plain, names["doc_id"], names["text"]).filter(~F.col("kept"))
+    return common.restored(common.without(with_locator(plain), dropped, "_place"), names)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

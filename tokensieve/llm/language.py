@@ -102,9 +102,19 @@ def ngram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
+#: Languages at most: the matrix that is broadcast has a column of 0.26 MB for each.
+MOST_LANGUAGES = 512
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages by code point, log priors, log probabilities by bucket and language) from all rows with a language."""
-    counts = ngram_counts(docs.filter(F.col(lang_col).isNotNull()), text_col, lang_col).toPandas()
+    """(languages by code point, log priors, log probabilities by bucket and language) from all rows with a language.
+
+    More than MOST_LANGUAGES languages are refused with a ValueError, before anything of theirs reaches the driver.
+    """
+    learned = common.stored(ngram_counts(docs.filter(F.col(lang_col).isNotNull()), text_col, lang_col), "counts")
+    if (found := learned.filter("bucket = -1").count()) > MOST_LANGUAGES:
+        raise ValueError(f"{found} languages; a model holds {MOST_LANGUAGES} at most")
+    counts = learned.toPandas()
     langs = sorted(counts["lang"].unique())
     n = np.zeros((BUCKETS + 1, len(langs)))
     np.add.at(n, (counts["bucket"].to_numpy(), counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=int)), counts["n"].to_numpy())

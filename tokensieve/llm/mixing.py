@@ -85,12 +85,15 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFram
     """docs as the mix takes them: a row for each epoch that takes a document, whole documents only.
 
     The one document of a source at which the budget is cut is taken whole; documents without words are never taken.
+    The columns stay, whatever their names. Null sources are a source of their own, null ids are ids like any other,
+    repeated rows are taken one by one in the order of their places. An empty table gives an empty result.
     """
-    docs = scanned(docs)
-    placed = with_locator(docs)
-    taken = mix(spark, docs, **options).filter("taken > 0").select("_place", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    out = placed.join(taken, "_place")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    plain, names = common.renamed(docs)
+    plain = scanned(plain)
+    of = {k: names[options.pop(k, default)] for k, default in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    taken = mix(spark, plain, **of, **options).filter("taken > 0").select("_place", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    out = with_locator(plain).join(taken, "_place")
+    return common.restored(out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))), names)
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,5 +300,11 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents of which each group keeps one; the columns stay. Rows with a null id stay, for want of a group."""
-    return common.without(docs, near_dedup(spark, docs).filter(~F.col("kept")), "doc_id")
+    """The documents of which each group keeps one; the columns stay, whatever their names.
+
+    Rows with a null id stay, for want of a group, and so do texts without words; of a repeated id all rows stay or go.
+    An empty table gives an empty result.
+    """
+    plain, names = common.renamed(docs)
+    dropped = near_dedup(spark, plain, names["doc_id"], names["text"]).withColumnRenamed(names["doc_id"], "_id").filter(~F.col("kept"))
+    return common.restored(common.without(plain, dropped.select(F.col("_id").alias(names["doc_id"])), names["doc_id"]), names)

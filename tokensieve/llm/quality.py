@@ -186,7 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     some = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).dropna().orderBy(F.xxhash64("_id"), "_id", "_y").limit(most)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(some), "_id").select("_y", "_id", "_t")
-    table = with_features(rows, "_t").select("_id", "_y", "_f.*").orderBy("_id", "_y", "chars").drop("_id").toPandas().to_numpy(dtype=float)
+    table = with_features(rows, "_t").select("_id", "_y", "_f.*").toPandas()
+    table = table.sort_values(list(table.columns)).drop(columns="_id").to_numpy(dtype=float)  # at most `most` rows for each id
     return fit(table[:, 1:], table[:, 0]) if len(table) else ([], 0.0)
 
 
@@ -211,9 +212,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier accepts; the columns stay."""
+    """The documents that the classifier accepts; the columns stay, whatever their names.
+
+    Null and empty texts are scored like any other, repeated rows alike; null ids are scored too and never learned from.
+    An empty table gives an empty result.
+    """
     model = model_of(spark, docs, sf_dir)
-    names = [f"_k{i}" for i in range(len(docs.columns))]
-    renamed = docs.toDF(*names).withColumns({"_id": F.col(names[docs.columns.index("doc_id")]), "_copy": F.col(names[docs.columns.index("text")])})
-    scored = score(renamed, model, "_id", "_copy", keep=tuple(names))
-    return scored.filter(F.col("score") >= THRESHOLD).select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+    plain, names = common.renamed(docs)
+    plain = plain.withColumns({"_id": F.col(names["doc_id"]), "_copy": F.col(names["text"])})
+    scored = score(plain, model, "_id", "_copy", keep=tuple(names.values()))
+    return common.restored(scored.filter(F.col("score") >= THRESHOLD), names)
