@@ -588,3 +588,37 @@ def test_too_many_languages_are_refused(spark, monkeypatch):
     with pytest.raises(ValueError, match="3 languages"):
         language.train(docs)
     assert language.train(docs.filter("lang != 'z'"))[0] == ["x", "y"]
+
+
+def thue_morse(n):
+    """Two words of 2 ** n letters that polynomial hashes modulo 2 ** 64 can't tell apart."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [5, 10, 13])
+def test_words_of_equal_structure_differ(spark, n):
+    a, b = thue_morse(n)
+    h = shingles.word_hashes([f"{a} {b} {a}".encode(), f"{a.upper()} {b}".encode()], lower=True)[0]
+    assert h[0] == h[2] == h[3] and h[1] == h[4] and h[0] != h[1]
+    rows = [(1, " ".join([a] * 30)), (2, " ".join([b] * 30)), (3, " ".join([a, b] * 15)), (4, " ".join([b, a] * 15))]
+    near = by_id(near_dedup.near_dedup(spark, frame(spark, rows)))
+    assert [near[i]["component_id"] for i in (1, 2, 3, 4)] == [1, 2, 3, 3]
+    assert [by_id(passage_dedup.passage_dedup(spark, frame(spark, rows)))[i]["n_removed"] for i in (1, 2, 3, 4)] == [0, 0, 0, 30]
+
+
+def test_letters_of_equal_structure_differ(spark):
+    a, b = thue_morse(7)
+    rows = [(1, f"x{a}"), (2, f"x{b}"), (3, f"y{a}{b}"), (4, f"z{b}{b}")]
+    want, seen = {}, set()
+    for i, t in rows:
+        gone = [False] * len(t)
+        for j in range(len(t) - 99):
+            if t[j : j + 100] in seen:
+                gone[j : j + 100] = [True] * 100
+            seen.add(t[j : j + 100])
+        want[i] = sum(gone)
+    got = by_id(substring_dedup.substring_dedup(spark, frame(spark, rows)))
+    assert {i: r["n_removed"] for i, r in got.items()} == want

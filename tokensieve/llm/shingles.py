@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 
@@ -20,11 +21,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _codes(lower: bool) -> np.ndarray:
-    t = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    if lower:
-        t[65:91] = t[97:123]
-    return t
+def byte_codes() -> np.ndarray:
+    """A 64-bit code of each byte."""
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -53,20 +52,44 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield i, len(texts)
 
 
+#: Words of more bytes than this get a digest instead of a hash in numpy.
+LONG = 128
+
+
 def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, offset of each text's words, start and end byte of each word in the texts joined by a blank)."""
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    """(hash of each word, offset of each text's words, start and end byte of each word in the texts joined by a blank).
+
+    A word's hash takes 8 bytes at a time and finalises after each, so no structure of a word makes it collide.
+    """
+    joined = b" ".join(texts) + b" "
+    raw = np.frombuffer(joined, np.uint8)
     black = (raw != 32) & ((raw < 9) | (raw > 13))
     edge = np.flatnonzero(np.diff(black, prepend=False))
     starts, ends = edge[0::2], edge[1::2]
-    up, down = powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_codes(lower)[raw] * up[: len(raw)], out=sums[1:])
-    h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    if lower:
+        joined = joined.lower()  # bytes: A-Z alone
+    h = blocks_hashed(joined, starts, ends - starts, LONG)
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        h[i] = int.from_bytes(blake2b(joined[starts[i] : ends[i]], digest_size=8).digest(), "little")
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return h, np.searchsorted(starts, bounds), starts, ends
 
 
+def blocks_hashed(data: bytes, starts: np.ndarray, sizes: np.ndarray, most: int, seed: int = 0) -> np.ndarray:
+    """A hash of the first `most` bytes, at most, of each run of data: one step of 8 bytes after another."""
+    padded = data + bytes(8)
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    h = mix(sizes.astype(np.uint64) * np.uint64(_BASE) + np.uint64(seed))
+    at = np.arange(len(starts))
+    for k in range(0, most, 8):
+        at = at[sizes[at] > k]
+        if not len(at):
+            break
+        left = np.minimum(sizes[at] - k, 8).astype(np.uint64)
+        h[at] = mix((h[at] ^ (eight[starts[at] + k] << ((np.uint64(8) - left) << np.uint64(3)))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k))
+    return h
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of n successive words; they take no notice of where texts end."""
     if len(h) < n:

@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from tokensieve.llm import common
 from tokensieve.llm.repeats import Kind, run
-from tokensieve.llm.shingles import _codes
+from tokensieve.llm.shingles import byte_codes
 
 WINDOW, TRIGGER = 100, 16
 
 
 def _symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"".join(texts), np.uint8)
-    return _codes(False)[raw], raw, np.cumsum([0, *map(len, texts)])
+    return byte_codes()[raw], raw, np.cumsum([0, *map(len, texts)])
 
 
 def covered(size: int, low: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
