@@ -117,3 +117,4 @@ def test_op10(docs, run):
         assert got[i]["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
         assert set(listed) <= set(got[i]["spans"].split(",")) | {""}
         assert [got[i][f"n_{kind}"] for kind in personal.KINDS] == [sum(k == n for _, k, _ in want) for n in range(4)]
+        assert got[i]["n_added"] == len(got[i]["spans"].split(",")) * bool(got[i]["spans"]) - len(listed)
