@@ -16,6 +16,7 @@ stay in one row as arrays, and the work is linear in their number.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from collections.abc import Callable
@@ -345,7 +346,8 @@ def threshold(rows: list[tuple[float, int, int]]) -> float:
 
 def train(spark: SparkSession, n: int = EXAMPLES, seed: int = 17) -> Model:
     """Trees from three quarters of the examples, thresholds from the rest; nothing but n rows is read."""
-    rows = spark.createDataFrame([(i, t, k, s, e, y, i % 97 / 97 < HELD_OUT) for i, t, k, s, e, y in examples(n, seed)], "i int, t string, k int, s int, e int, y boolean, held boolean")
+    written = json.dumps([{"t": t, "k": k, "s": s, "e": e, "y": y, "held": i % 97 / 97 < HELD_OUT} for i, t, k, s, e, y in examples(n, seed)])
+    rows = spark.range(1).select(F.inline(F.from_json(F.lit(written), "array<struct<t:string,k:int,s:int,e:int,y:boolean,held:boolean>>")))
     found = with_candidates(rows, "t").select("held", "k", "y", "s", "e", F.explode("_cand").alias("c"))
     # a candidate of another kind than the phrase's is no answer to it; one of its kind is genuine if it is the span
     found = found.filter("c.k = k").withColumn("hit", F.col("y") & (F.col("c.s") == F.col("s")) & (F.col("c.e") == F.col("e")))
