@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tokensieve.llm import catalogue, common, components, exact_dedup, language, mixing, near_dedup, passage_dedup, personal, quality, shingles, substring_dedup, subword, vectors
+from tokensieve.llm import catalogue, common, components, exact_dedup, language, mixing, near_dedup, passage_dedup, personal, quality, repeats, shingles, substring_dedup, subword, vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans(common.UPPER, common.LOWER)
@@ -215,9 +215,49 @@ def test_passage_dedup(spark, seed, window):
 
 
 def test_automata_locate_every_occurrence():
-    lines = [" a b a b a ", " x a b ", ""]
-    got = passage_dedup.located(lines, np.array([5, 3, 9]), {" a b ": 4, " b a ": 6})
-    assert got == [[(0, 4), (4, 8)], [], []]
+    texts = [b"a b c d e", b"x a b c", b"a b c d", b"q r s"]
+    size, ids = np.array([5, 4, 4, 3]), np.array([5, 3, 9, 1])
+    hit = passage_dedup.judge(3)(texts, size, ids, np.zeros(4, np.int64), np.array([7, 7, 7, 2]))
+    assert hit.tolist() == [True, False, False] + [False, False] + [True, True] + [False]
+    assert passage_dedup.confirmed(passage_dedup.spelled(texts), ids, 3) == {"\0\1\2": 3, "\1\2\3": 5}
+
+
+def test_without_automata_windows_are_lost(spark, monkeypatch):
+    """Passages with other words around them aren't whole phrases: only the automata find them."""
+    rng = np.random.default_rng(6)
+    passage = prose(rng, 30)
+    docs = frame(spark, [(i, f"{prose(rng, 20)} {passage} {prose(rng, 20)}") for i in range(6)])
+    found = {i: r["n_removed"] for i, r in by_id(passage_dedup.passage_dedup(spark, docs)).items()}
+    assert found == {0: 0} | dict.fromkeys(range(1, 6), 30)
+    monkeypatch.setattr(passage_dedup, "judge", lambda window: lambda texts, size, ids, start, flank: np.zeros(int((size - window + 1).sum()), bool))
+    less = {i: r["n_removed"] for i, r in by_id(passage_dedup.passage_dedup(spark, docs)).items()}
+    assert all(less[i] < 30 for i in less)
+
+
+@pytest.mark.parametrize("hot", [512, 3, 0])
+def test_a_passage_among_other_words(spark, monkeypatch, hot):
+    """One passage in very many documents, other words around it: edges share a flank. By dictionary and by digests."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "BLOCK", 30_000)
+    rng = np.random.default_rng(9)
+    passage = prose(rng, 40)
+    rows = [(int(i), f"{prose(rng, int(rng.integers(3, 30)))} {passage[int(rng.integers(0, 9)):]} {prose(rng, int(rng.integers(3, 30)))}") for i in rng.permutation(400)]
+    rows += [(int(i) + 1000, t) for i, t in corpus(7)]
+    first, seen, words, letters = {}, set(), {}, {}
+    for i, t in sorted(rows):
+        w, b = WORD.findall(t or ""), (t or "").encode()
+        gone, cut = [False] * len(w), bytearray(len(b))
+        for j in range(len(w) - 12):
+            if first.setdefault(tuple(w[j : j + 13]), i) < i:
+                gone[j : j + 13] = [True] * 13
+        for j in range(len(b) - 99):
+            x = b[j : j + 100]
+            if x in seen:
+                cut[j : j + 100] = b"\1" * 100
+            seen.add(x)
+        words[i], letters[i] = sum(gone), sum(cut)
+    assert {i: r["n_removed"] for i, r in by_id(passage_dedup.passage_dedup(spark, frame(spark, rows))).items()} == words
+    assert {i: r["n_removed"] for i, r in by_id(substring_dedup.substring_dedup(spark, frame(spark, rows))).items()} == letters
 
 
 @pytest.mark.parametrize(("seed", "window"), [(1, 100), (2, 30)])

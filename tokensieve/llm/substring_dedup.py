@@ -16,15 +16,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokensieve.llm import common
-from tokensieve.llm.repeats import Kind, run
+from tokensieve.llm.repeats import Kind, Symbols, ranks, run
 from tokensieve.llm.shingles import byte_codes
 
 WINDOW, TRIGGER = 100, 16
 
 
-def _symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    return byte_codes()[raw], raw, np.cumsum([0, *map(len, texts)])
+def _symbols(texts: list[bytes]) -> Symbols:
+    data = b"".join(texts)
+    return Symbols(byte_codes()[np.frombuffer(data, np.uint8)], data, None, None, np.cumsum([0, *map(len, texts)]))
+
+
+def judge(window: int):
+    """Windows of one rank in the sorted dictionary, in the order of the corpus: all but the first occur earlier."""
+
+    def of(texts: list[bytes], size: np.ndarray, ids: np.ndarray, start: np.ndarray, flank: np.ndarray) -> np.ndarray:
+        windows = size - window + 1
+        owner = np.repeat(np.arange(len(size)), windows)
+        x = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        rank = ranks(np.frombuffer(b"".join(texts), np.uint8), np.repeat(np.cumsum(size) - size, windows) + x, window)
+        place = start[owner] + x
+        order = np.lexsort((place, ids[owner], rank))
+        same = np.zeros(len(order), bool)
+        same[1:] = rank[order][1:] == rank[order][:-1]
+        hit = np.zeros(len(order), bool)
+        hit[order] = same
+        return hit
+
+    return of
+
+
 
 
 def covered(size: int, low: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
@@ -67,7 +88,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     result. Other columns of docs are not read. Cuts follow bytes, so kept_text need not be valid UTF-8.
     """
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * text
-    kind = Kind(window, min(TRIGGER, max(1, window // 4)), True, "<u1", _symbols, finisher(window, text))
+    kind = Kind(window, min(TRIGGER, max(1, window // 4)), True, _symbols, judge(window), finisher(window, text))
     return run(spark, docs, id_col, text_col, kind, schema).withColumnRenamed("id", id_col)
 
 
