@@ -42,7 +42,7 @@ from tokensieve.llm import common
 from tokensieve.llm.exact_dedup import with_locator
 from tokensieve.llm.shingles import mix, powers
 
-#: Bytes of text in a block and behind a bucket, about. Buckets are at least as many as shuffle partitions.
+#: Bytes of text in a block and behind a bucket, about. Buckets are at least twice as many as shuffle partitions.
 BLOCK, BUCKET = 2 << 20, 32 << 20
 #: A flank that more phrases share is handled by digests of windows.
 HOT = 512
@@ -470,7 +470,7 @@ def dealt(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> t
     rows = with_locator(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("data")))
     total = rows.agg(F.sum(F.octet_length("data") + 64)).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK))
-    buckets = max(common.partitions(spark), math.ceil(total / BUCKET))
+    buckets = max(2 * common.partitions(spark), math.ceil(total / BUCKET))
     return rows.select(F.pmod(F.xxhash64("_place"), F.lit(blocks)).cast("int").alias("block"), "id", "data"), buckets
 
 
