@@ -18,7 +18,11 @@ from tokensieve.operators import merge as M
 from tokensieve.operators import reports as R
 from tokensieve.operators import segment as S
 from tokensieve.operators import select as P
+from tokensieve.functions import vectors as V
 from tokensieve.register import register
+from tokensieve.sources import requests as Q
+from tokensieve.sources.videos import BEHIND, FRAMES, LEAST_VIDEOS, SCENE, TOKENS as PER_FRAME
+from tokensieve.streaming.videos import windowed_requests
 
 TOKENS = "video_id long, frame int, token int, vec array<double>, attention double"
 
@@ -280,3 +284,93 @@ def test_streamed_videos(spark, tmp_path):
         video(spark, np.random.default_rng(v).normal(size=(2, 5, 3)), video_id=v).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     compress_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), CompressionConfig(retention_ratio=0.5), 1).awaitTermination()
     assert {r["video_id"]: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("video_id").count().collect()} == {0: 5, 1: 5}
+
+
+def test_masked_points_are_farther_than_anything_in_any_frame(spark):
+    """Frame 1 is ten times as wide as frame 0; the masked point of frame 0 is beyond frame 1's greatest distance."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2, 6, 3)) * np.array([1, 10])[:, None, None]
+    rows = [(0, f, t, x[f, t].tolist(), 2, t != 3) for f in range(2) for t in range(6)]
+    points = spark.createDataFrame(rows, "video_id long, frame int, token int, vec array<double>, n int, valid boolean")
+    most = max(K.distances(x[f]).max() for f in range(2))
+    assert K.greatest_distance(points) == most
+    got = {(r["frame"], r["token"]): r for r in K.clustered_points(points).collect()}
+    for f in range(2):
+        want = K.density_peaks(x[f], 2, 7, np.arange(6) != 3, most)
+        assert [got[f, t]["cluster"] for t in range(6)] == want["cluster"].tolist()
+        assert [got[f, t]["delta"] for t in range(6)] == want["delta"].tolist() and max(want["delta"]) == most + 1
+
+
+def test_means_of_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), int(f), rng.normal(size=3 + g).tolist()) for g, f in rng.integers(0, 3, (200, 2))]
+    df = spark.createDataFrame(rows, "g long, f int, vec array<double>").repartition(7)
+    for r in V.group_means(df, {"g": "long", "f": "int"}).collect():
+        own = [v for g, f, v in rows if (g, f) == (r["g"], r["f"])]
+        assert r["members"] == len(own) and np.allclose(r["vec"], np.mean(own, axis=0))
+    assert V.group_means(df.limit(0), {"g": "long"}).collect() == []
+
+
+def test_offsets_over_several_runs(spark, monkeypatch):
+    monkeypatch.setattr(A, "RUN", 4)
+    grid = spark.createDataFrame([(i, i % 3 + 1, 2, i % 2 + 1) for i in range(3, 40, 2)], "video_id long, temporal int, height int, width int")
+    rows = A.ragged_offsets(grid).orderBy("video_id").collect()
+    at = 0
+    for r in rows:
+        assert (r["start"], r["stop"]) == (at, at + r["temporal"] * r["height"] * r["width"])
+        at = r["stop"]
+    with pytest.raises(PySparkException):
+        A.ragged_offsets(grid, at + 1).collect()
+
+
+def test_a_broken_line_ends_its_request(spark):
+    lines = [("a", 1, "data: {}"), ("a", 2, 'data: {"usage": {"completion_tokens": 5}}'), ("a", 3, "data: [1]"), ("a", 4, 'data: {"usage": {"completion_tokens": 9}}'), ("b", 1, "data: {oops"), ("c", 1, ": ping"), ("d", 1, 'data: {"usage": {}}'), ("d", 2, "data: [DONE]")]
+    df = spark.createDataFrame(lines, "request string, seq long, value string").withColumn("ts", F.timestamp_seconds("seq"))
+    got = {r["request"]: (r["chunks"], r["output_tokens"], r["error"]) for r in R.responses(df).collect()}
+    assert got == {"a": (2, 5, "no JSON object in line 3"), "b": (0, 0, "no JSON object in line 1"), "c": (0, 0, None), "d": (1, 1, None)}
+    times = spark.createDataFrame([("a", 1.0, 1.5, 4.0, None), ("b", 2.0, None, 2.5, "reset")], "request string, started double, first double, ended double, error string")
+    assert [tuple(r) for r in R.request_log(times).orderBy("request").collect()] == [("a", True, None, 3.0, 0.5), ("b", False, "reset", 0.5, None)]
+
+
+def test_stored_streams_and_reports_are_read(spark, tmp_path):
+    (tmp_path / "streams").mkdir()
+    (tmp_path / "streams" / "one.txt").write_text('data: {"id": 1}\n\ndata: {"usage": {"completion_tokens": 7}}\r\n: ping\ndata: [DONE]\n')
+    (tmp_path / "streams" / "two.txt").write_text("")
+    got = R.responses(Q.event_stream_lines(spark, str(tmp_path / "streams"))).collect()
+    assert [(r["request"].rsplit("/")[-1], r["chunks"], r["output_tokens"], r["error"]) for r in got] == [("one.txt", 2, 7, None)]
+    for i in range(2):
+        R.report_sink(spark.createDataFrame([(i, 1.5, None)], "run_no int, output_tokens_per_s double, errors string"), str(tmp_path / "reports" / f"{i}.json"))
+    assert sorted((r["run_no"], r["output_tokens_per_s"]) for r in Q.reports(spark, str(tmp_path / "reports")).collect()) == [(0, 1.5), (1, 1.5)]
+
+
+@pytest.mark.parametrize("size", [1, 99, 500, 733, 2000])
+def test_derived_videos_use_every_embedding(spark, tmp_path, size):
+    videos = max(LEAST_VIDEOS, math.ceil(size / BEHIND))
+    used = {x for v in range(videos) for f in range(FRAMES) for t in range(PER_FRAME) for x in ((f // SCENE * PER_FRAME + t + 137 * v) % size, ((f * PER_FRAME + t) * 7 + 3 + 137 * v) % size)}
+    assert used == set(range(size))
+
+
+def test_compress_checks_its_result(spark, monkeypatch):
+    tokens = video(spark, np.random.default_rng(1).normal(size=(4, 6, 5)))
+    monkeypatch.setattr(C, "attention_fill", lambda marked, context, targets: marked.limit(1).select(*C.OUT))
+    with pytest.raises(ValueError, match="target is missed"):
+        C.compress(tokens, CompressionConfig(retention_ratio=0.5))
+
+
+def test_ratio_of_the_command_line(spark, tmp_path, monkeypatch):
+    video(spark, np.random.default_rng(1).normal(size=(4, 6, 5))).write.parquet(str(tmp_path / "tokens"))
+    monkeypatch.setenv("TOKENSIEVE_RETENTION_RATIO", "0.25")
+    assert cli.main(["compress", str(tmp_path / "tokens"), str(tmp_path / "out"), "--pruning-rate", "0.75"]) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+    with pytest.raises(SystemExit):
+        cli.main(["compress", str(tmp_path / "tokens"), str(tmp_path / "other"), "--pruning-rate", "0.5"])
+
+
+def test_requests_in_windows(spark, tmp_path):
+    rows = [("2024-01-01 00:10:00", 1, True, 5), ("2024-01-01 00:20:00", 1, False, 3), ("2024-01-01 01:10:00", 1, True, 2), ("2024-01-01 00:30:00", 2, True, 1)]
+    spark.createDataFrame(rows, "ts string, run long, ok boolean, output_tokens long").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, run long, ok boolean, output_tokens long").parquet(str(tmp_path / "in"))
+    query = windowed_requests(stream).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(r["hour"], r["run"]): (r["requests"], r["failed"], r["output_tokens"]) for r in spark.sql("SELECT hour(window.start) AS hour, * FROM windows").collect()}
+    assert got == {(0, 1): (2, 1, 8), (1, 1): (1, 0, 2), (0, 2): (1, 0, 1)}

@@ -9,7 +9,7 @@ import subprocess
 import sys
 from collections.abc import Mapping, Sequence
 
-from tokensieve.config import RATIO_VARIABLE, CompressionConfig
+from tokensieve.config import RATIO_VARIABLE, CompressionConfig, check_pruning_rate, ratio_from_environment
 
 #: Options of the server that follow from the ratio, so callers can't give them.
 OWNED = ("--hf-overrides", "--video-pruning-rate")
@@ -42,11 +42,18 @@ def compress_table(argv: Sequence[str]) -> int:
     parser = argparse.ArgumentParser(prog="tokensieve compress")
     parser.add_argument("tokens")
     parser.add_argument("out")
-    parser.add_argument("--ratio", type=float, default=0.1)
+    parser.add_argument("--ratio", type=float, help=f"{RATIO_VARIABLE}, or 0.1, unless given")
+    parser.add_argument("--pruning-rate", type=float, help="the rate of the service whose tokens these are; has to fit the ratio")
     parser.add_argument("--alpha", type=float, default=0.7)
     parser.add_argument("--target-tokens", type=int)
     args = parser.parse_args(list(argv))
-    config = CompressionConfig(retention_ratio=checked_ratio(args.ratio), alpha=args.alpha)
+    try:
+        ratio = ratio_from_environment() if args.ratio is None else checked_ratio(args.ratio)
+        if args.pruning_rate is not None:
+            check_pruning_rate(ratio, args.pruning_rate)
+    except ValueError as e:
+        raise SystemExit(str(e)) from e
+    config = CompressionConfig(retention_ratio=ratio, alpha=args.alpha)
 
     from pyspark.sql import SparkSession
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tokensieve.functions.checks import required
 
 FRAME = ("video_id", "frame")
+#: Ids of a run, the unit of prefix sums.
+RUN = 1 << 14
 
 
 def received_attention(qk: DataFrame, query_chunk: int = 128) -> DataFrame:
@@ -44,14 +46,18 @@ def pooled_attention(attention: DataFrame, merge_unit: int) -> DataFrame:
 def ragged_offsets(grid: DataFrame, total_rows: int | None = None) -> DataFrame:
     """grid(video_id, temporal, height, width) with start and stop, each video's rows in the concatenated batch.
 
-    total_rows: fail unless the videos use exactly these. One row per video passes through one task.
+    total_rows: fail unless the videos use exactly these. Sums run within runs of RUN ids, and over the runs' totals:
+    a row for each run passes through one task, not one for each video.
     """
-    order = Window.orderBy("video_id").rowsBetween(Window.unboundedPreceding, 0)
     size = F.col("temporal").cast("long") * F.col("height") * F.col("width")
-    out = grid.withColumn("stop", F.sum(size).over(order)).withColumn("start", F.col("stop") - size)
+    rows = grid.withColumn("_run", F.floor(F.col("video_id") / RUN)).withColumn("_size", size)
+    ahead = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy("_run").agg(F.sum("_size").alias("_sum")).select(F.col("_run").alias("_of"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_sum").over(Window.partitionBy()).alias("_used"))
+    inside = Window.partitionBy("_run").orderBy("video_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("stop", F.sum("_size").over(inside)).join(runs, F.col("_run") == F.col("_of")).withColumn("stop", F.col("_ahead") + F.col("stop"))
+    out = out.withColumn("start", F.col("stop") - F.col("_size"))
     if total_rows is not None:
-        used = F.max("stop").over(Window.partitionBy())
-        out = out.withColumn("stop", required(F.col("stop"), used == total_rows, "rows are left over or missing"))
+        out = out.withColumn("stop", required(F.col("stop"), F.col("_used") == total_rows, "rows are left over or missing"))
     return out.select("video_id", "temporal", "height", "width", "start", "stop")
 
 

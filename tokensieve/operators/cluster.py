@@ -34,7 +34,8 @@ def density_peaks(x: np.ndarray, clusters: int, k: int = 7, valid: np.ndarray |
 
     Density is exp of the mean of minus the squared distances to the k nearest, the point itself included; delta the
     distance to the nearest denser point, or the greatest distance there is. Points that aren't valid are at the
-    sentinel from all others (their greatest distance and one) and have no density. Best value, then least index.
+    sentinel from all others (one more than the greatest distance, of all frames where it is given) and have no density.
+    Best value, then least index.
     """
     if not 1 <= clusters <= len(x):
         raise ValueError("the number of clusters must lie between 1 and the number of points")
@@ -56,17 +57,29 @@ def density_peaks(x: np.ndarray, clusters: int, k: int = 7, valid: np.ndarray |
     return {"neighbours": order, "density": density, "delta": delta, "score": score, "centres": centres, "cluster": cluster}
 
 
+def greatest_distance(points: DataFrame) -> float:
+    """The greatest distance between points of one frame; 0 without any."""
+
+    def frame(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"d": [distances(matrix(pdf["vec"])).max()]})
+
+    most = points.select("video_id", "frame", "vec").groupBy("video_id", "frame").applyInPandas(frame, "d double").agg(F.max("d")).first()[0]
+    return most or 0.0
+
+
 def clustered_points(points: DataFrame, k: int = 7) -> DataFrame:
     """(video_id, frame, token, density, delta, score, cluster, centre) of points with their frame's cluster count n.
 
-    centre: the point is its cluster's centre; clusters are numbered by score. An optional column valid masks points.
+    centre: the point is its cluster's centre; clusters are numbered by score. An optional column valid masks points:
+    they are farther from all others than any two points of one frame are in the whole table, which takes a pass of its own.
     """
     masked = "valid" in points.columns
+    greatest = greatest_distance(points) if masked else None
 
     def frame(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("token", ignore_index=True)
         valid = pdf["valid"].to_numpy(bool) if masked else None
-        got = density_peaks(matrix(pdf["vec"]), int(pdf["n"].iloc[0]), k, valid)
+        got = density_peaks(matrix(pdf["vec"]), int(pdf["n"].iloc[0]), k, valid, greatest)
         centre = np.zeros(len(pdf), bool)
         centre[got["centres"]] = True
         return pdf[list(POINT)].assign(density=got["density"], delta=got["delta"], score=got["score"], cluster=got["cluster"], centre=centre)

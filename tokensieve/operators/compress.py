@@ -48,8 +48,9 @@ def compress(tokens: DataFrame, config: CompressionConfig | None = None, target_
     """(video_id, anchor, frame, token, vec): exactly the target's number of tokens of each video.
 
     tokens(video_id, frame, token, vec, attention). Selected tokens keep their vector, a cluster's token has the mean
-    of the cluster's merged tokens; anchors are unique within a video. With ratio 1, or where the target is all of a
-    video, its tokens come back as they are.
+    of the cluster's merged tokens; anchors are unique within a video, or the call fails. With ratio 1, or where the
+    target is all of a video, its tokens come back as they are. The result is stored, so it is counted once and read as
+    often as one likes.
     """
     config = config or CompressionConfig()
     targets = video_targets(tokens, config, target_tokens)
@@ -73,7 +74,17 @@ def compress(tokens: DataFrame, config: CompressionConfig | None = None, target_
         context = cluster_means(merged, B.allocate(shares, "_share"))
         out = out.unionByName(context)
         out = out.unionByName(attention_fill(marked, context, some))
-    return anchored(out, targets)
+    result = stored(anchored(out, targets), "retained")
+    if not missed(result, targets).isEmpty():
+        raise ValueError("anchors repeat, or the target is missed")
+    return result
+
+
+def missed(result: DataFrame, targets: DataFrame) -> DataFrame:
+    """The targets(video_id, target) of which result hasn't exactly as many distinct anchors, and rows."""
+    found = result.groupBy("video_id").agg(F.count(F.lit(1)).alias("_rows"), F.countDistinct("anchor").alias("_distinct"))
+    fine = F.coalesce((F.col("_rows") == F.col("target")) & (F.col("_distinct") == F.col("target")), F.lit(False))
+    return targets.select("video_id", "target").join(found, "video_id", "left").filter(~fine)
 
 
 def attention_fill(marked: DataFrame, context: DataFrame, targets: DataFrame) -> DataFrame:

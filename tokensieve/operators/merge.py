@@ -66,5 +66,5 @@ def merged_tokens(available: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(video_id, frame, token, vec, members): the roots, each with the mean over its whole tree."""
     roots = forest_roots(available, merge_edges(best_matches(available), threshold))
     trees = available.select(*TOKEN, "vec").join(roots, list(TOKEN))
-    trees = trees.groupBy("video_id", F.col("root_frame").alias("frame"), F.col("root_token").alias("token"))
-    return trees.agg(V.mean(F.collect_list("vec")).alias("vec"), F.count(F.lit(1)).alias("members"))
+    trees = trees.select("video_id", F.col("root_frame").alias("frame"), F.col("root_token").alias("token"), "vec")
+    return V.group_means(trees, {"video_id": "long", "frame": "int", "token": "int"})

@@ -13,21 +13,29 @@ USAGE = "usage struct<completion_tokens: long>"
 
 
 def data_events(lines: DataFrame) -> DataFrame:
-    """(request, seq, ts, event): the decoded data lines of event streams; comments and the end are left out."""
-    kept = lines.filter(F.col("value").startswith(DATA) & (F.col("value") != END))
-    return kept.select("request", "seq", "ts", F.from_json(F.substring("value", len(DATA) + 1, 1 << 30), USAGE).alias("event"))
+    """(request, seq, ts, event, fine): the decoded data lines of event streams; comments and the end are left out.
+
+    fine: the line holds a JSON object.
+    """
+    kept = lines.filter(F.col("value").startswith(DATA) & (F.col("value") != END)).withColumn("_json", F.substring("value", len(DATA) + 1, 1 << 30))
+    fine = F.try_parse_json("_json").isNotNull() & F.ltrim("_json").startswith("{")
+    return kept.select("request", "seq", "ts", F.from_json("_json", USAGE).alias("event"), fine.alias("fine"))
 
 
 def responses(lines: DataFrame) -> DataFrame:
-    """(request, first_ts, chunks, output_tokens) of each request with lines: seq orders them.
+    """(request, first_ts, chunks, output_tokens, error) of each request with lines: seq orders them.
 
-    Every data event is a chunk; the last usage that names a count gives the tokens, chunks stand in for none or 0.
+    Every data event is a chunk; the last usage that names a count gives the tokens, chunks stand in for none or 0. A
+    data line that is no JSON object ends its request: it names the error, and neither it nor later lines are chunks.
     """
-    events = data_events(lines).withColumn("tokens", F.col("event.usage.completion_tokens"))
-    last = F.max(F.when(F.col("tokens").isNotNull(), F.struct("seq", "tokens")))["tokens"]
-    out = events.groupBy("request").agg(F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("chunks"), last.alias("tokens"))
+    request = Window.partitionBy("request")
+    events = data_events(lines).withColumn("tokens", F.col("event.usage.completion_tokens")).withColumn("bad", F.min(F.when(~F.col("fine"), F.col("seq"))).over(request))
+    read = F.col("bad").isNull() | (F.col("seq") < F.col("bad"))
+    last = F.max(F.when(read & F.col("tokens").isNotNull(), F.struct("seq", "tokens")))["tokens"]
+    out = events.groupBy("request").agg(F.min("ts").alias("first_ts"), F.count_if(read).alias("chunks"), last.alias("tokens"), F.min("bad").alias("bad"))
     out = lines.select("request").distinct().join(out, "request", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
-    return out.select("request", "first_ts", "chunks", token_count(F.col("tokens"), F.col("chunks")).alias("output_tokens"))
+    error = F.when(F.col("bad").isNotNull(), F.concat(F.lit("no JSON object in line "), F.col("bad").cast("string")))
+    return out.select("request", "first_ts", "chunks", token_count(F.col("tokens"), F.col("chunks")).alias("output_tokens"), error.alias("error"))
 
 
 def token_count(tokens: Column, chunks: Column) -> Column:

@@ -13,7 +13,7 @@ DIGITS = 9
 
 def frame_means(tokens: DataFrame) -> DataFrame:
     """(video_id, frame, vec): the mean over all tokens of a frame."""
-    return tokens.groupBy("video_id", "frame").agg(V.mean(F.collect_list("vec")).alias("vec"))
+    return V.group_means(tokens, {"video_id": "long", "frame": "int"}).drop("members")
 
 
 def transitions(frames: DataFrame) -> DataFrame:

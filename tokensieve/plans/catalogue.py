@@ -19,7 +19,7 @@ from tokensieve.operators import segment as S
 from tokensieve.operators import select as P
 from tokensieve.plans import oracles as O
 from tokensieve.sources import requests as Q
-from tokensieve.sources.scratch import stored
+from tokensieve.sources.scratch import scratch, stored
 from tokensieve.sources.videos import checked_tokens, derived_tokens, derived_videos
 
 FLAGSHIP = "compress_r25"
@@ -117,6 +117,25 @@ def received_attention(spark: SparkSession, sf: str) -> DataFrame:
     return derived_videos(spark, sf).select("video_id", "frame", "token", six("attention").alias("attention"))
 
 
+#: Four heads of a quarter of the dimensions each; the keys are those of the next head.
+HEADS = 4
+MANY_HEADS = f"""SELECT video_id, frame, kt AS token, round(avg(p), 6) AS attention FROM (
+  SELECT video_id, frame, head, kt, z / sum(z) OVER (PARTITION BY video_id, frame, head, qt) AS p FROM (
+    SELECT *, exp(l - max(l) OVER (PARTITION BY video_id, frame, head, qt)) AS z FROM (
+      SELECT a.video_id, a.frame, a.head, a.token AS qt, b.token AS kt, list_dot_product(a.part, b.part) / sqrt(len(a.part)::DOUBLE) AS l
+      FROM heads a JOIN heads b ON a.video_id = b.video_id AND a.frame = b.frame AND b.head = (a.head + 1) % {HEADS}))) GROUP BY ALL"""
+PARTS_OF_HEADS = f"SELECT video_id, frame, token, head, vec[(head * len(vec) // {HEADS} + 1):((head + 1) * len(vec) // {HEADS})] AS part FROM tok, (SELECT unnest(range({HEADS})) AS head)"
+
+
+@query(O.chain(MANY_HEADS.replace("heads a", f"({PARTS_OF_HEADS}) a").replace("heads b", f"({PARTS_OF_HEADS}) b"), "tok"))
+def attention_of_heads(spark: SparkSession, sf: str) -> DataFrame:
+    width = F.floor(F.size("vec") / HEADS)
+    part = lambda h: F.slice("vec", (F.lit(h % HEADS) * width + 1).cast("int"), width.cast("int"))
+    heads = F.explode(F.array(*(F.struct(F.lit(h).alias("head"), part(h).alias("q"), part(h + 1).alias("k")) for h in range(HEADS))))
+    qk = derived_tokens(spark, sf).select("video_id", "frame", F.col("token").alias("patch"), heads.alias("h")).select("video_id", "frame", "h.head", "patch", "h.q", "h.k")
+    return A.received_attention(qk).select("video_id", "frame", F.col("patch").alias("token"), six("attention").alias("attention"))
+
+
 @query(O.chain("SELECT video_id, frame, token // 4 AS token, round(avg(attention), 6) AS attention FROM att GROUP BY ALL", "att"))
 def pooled_attention(spark: SparkSession, sf: str) -> DataFrame:
     pooled = A.pooled_attention(derived_videos(spark, sf).withColumnRenamed("token", "patch"), 4)
@@ -281,8 +300,8 @@ def _compressed(config: CompressionConfig) -> Query:
 for _name, _ratio, _alpha in (("r100", 1, 0.7), ("r50", 0.5, 0.7), ("r25", 0.25, 0.7), ("r10", 0.1, 0.7), ("alpha0", 0.25, 0.0), ("alpha1", 0.25, 1.0)):
     query(O.compressed(_ratio, _alpha), f"compress_{_name}")(_compressed(CompressionConfig(retention_ratio=_ratio, alpha=_alpha)))
 
-SERVICE = """SELECT video_id, 20::BIGINT AS frames, 20::BIGINT AS tpf, 400::BIGINT AS total, target, least(target, ceil(target::DOUBLE * 0.7::DOUBLE)::BIGINT) AS diverse FROM (
-  SELECT video_id, greatest(20, floor(400::DOUBLE * (1::DOUBLE - (1::DOUBLE - 0.1::DOUBLE)))::BIGINT) AS target FROM range(3) r(video_id))"""
+SERVICE = f"""SELECT video_id, 20::BIGINT AS frames, 20::BIGINT AS tpf, 400::BIGINT AS total, target, least(target, ceil(target::DOUBLE * 0.7::DOUBLE)::BIGINT) AS diverse FROM (
+  SELECT video_id, greatest(20, floor(400::DOUBLE * (1::DOUBLE - (1::DOUBLE - 0.1::DOUBLE)))::BIGINT) AS target FROM {O.VIDEOS})"""
 
 
 @query(O.chain(f"SELECT video_id, (frame * 20 + token)::BIGINT AS anchor, frame, token, {O.DIGEST} FROM retained", "retained", targets=SERVICE))
@@ -324,6 +343,13 @@ def compression_summary(spark: SparkSession, sf: str) -> DataFrame:
     return C.asserted(C.anchored(result.drop("anchor"), C.video_targets(tokens, QUARTER)), C.video_targets(tokens, QUARTER))
 
 
+@query(O.chain("SELECT video_id, (frame * 20 + token)::BIGINT AS anchor, frame, token, video_id * 1000 + frame * 0.5::DOUBLE AS ts FROM retained", "retained"))
+def assembled(spark: SparkSession, sf: str) -> DataFrame:
+    tokens, result = _result(spark, sf)
+    times = tokens.select("video_id", "frame").distinct().withColumn("ts", F.col("video_id") * 1000 + F.col("frame") * 0.5)
+    return C.with_timestamps(result, times).select("video_id", "anchor", "frame", "token", "ts")
+
+
 REQUESTS = """(SELECT user_id % 4 AS run, event_id AS seq, event_type <> 'error' AS ok, CASE WHEN event_type = 'error' THEN 'error ' || event_id END AS error,
   value AS latency_s, CASE WHEN event_type <> 'view' THEN value / 2 END AS ttft_s,
   coalesce(nullif(coalesce((props::JSON->>'k')::BIGINT, 0), 0), event_id % 7 + 1) AS output_tokens, event_id % 7 + 1 AS chunks FROM events)"""
@@ -348,20 +374,35 @@ def request_report(spark: SparkSession, sf: str) -> DataFrame:
     return _report(spark, sf)
 
 
-LINES = """(SELECT user_id AS request, event_id AS seq, ts, CASE WHEN event_id % 2 = 0 THEN event_id % 3 = 0 END AS usage, coalesce((props::JSON->>'k')::BIGINT, 0) AS k FROM events)"""
+#: Lines before a broken one count; usage is null for what is no data line.
+LINES = """(SELECT *, usage IS NOT NULL AS data, usage IS NOT NULL AND seq < coalesce(bad, seq + 1) AS read FROM (
+  SELECT *, min(seq) FILTER (seq % 46 = 0) OVER (PARTITION BY request) AS bad FROM (
+    SELECT user_id AS request, event_id AS seq, ts, CASE WHEN event_id % 2 = 0 THEN event_id % 3 = 0 END AS usage, coalesce((props::JSON->>'k')::BIGINT, 0) AS k FROM events)))"""
 
 
-@query(f"SELECT request, epoch_us(min(ts) FILTER (usage IS NOT NULL)) AS first_us, count(usage) AS chunks FROM {LINES} GROUP BY ALL")
+@query(f"SELECT request, epoch_us(min(ts) FILTER (data)) AS first_us, count(*) FILTER (read) AS chunks FROM {LINES} GROUP BY ALL")
 def ttft(spark: SparkSession, sf: str) -> DataFrame:
     out = R.responses(Q.events_as_lines(spark, sf))
     return out.select("request", F.unix_micros(F.col("first_ts").cast("timestamp")).alias("first_us"), "chunks")
 
 
-@query(f"SELECT request, coalesce(nullif(max_by(k, seq) FILTER (usage), 0), count(usage)) AS output_tokens FROM {LINES} GROUP BY ALL")
+@query(f"SELECT request, coalesce(nullif(max_by(k, seq) FILTER (usage AND read), 0), count(*) FILTER (read)) AS output_tokens FROM {LINES} GROUP BY ALL")
 def token_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return R.responses(Q.events_as_lines(spark, sf)).select("request", "output_tokens")
 
 
+@query(
+    "SELECT request, bad IS NULL AS ok, CASE WHEN bad IS NOT NULL THEN 'no JSON object in line ' || bad END AS error, round((epoch_us(ended) - epoch_us(started)) / 1e6, 6) AS latency_s, "
+    f"round((epoch_us(first) - epoch_us(started)) / 1e6, 6) AS ttft_s FROM (SELECT request, any_value(bad) AS bad, min(ts) AS started, max(ts) AS ended, min(ts) FILTER (data) AS first FROM {LINES} GROUP BY request)"
+)
+def request_log(spark: SparkSession, sf: str) -> DataFrame:
+    lines = Q.events_as_lines(spark, sf)
+    second = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    times = lines.groupBy("request").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"))
+    timed = R.responses(lines).join(times, "request").select("request", second("started").alias("started"), second("first_ts").alias("first"), second("ended").alias("ended"), "error")
+    return R.request_log(timed).withColumns({c: six(c) for c in ("latency_s", "ttft_s")})
+
+
 @query(f"SELECT run, seq, error FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seq) AS rk FROM {REQUESTS} WHERE NOT ok) WHERE rk <= 10")
 def first_errors(spark: SparkSession, sf: str) -> DataFrame:
     return R.first_errors(Q.events_as_requests(spark, sf))
@@ -391,6 +432,14 @@ def best_run(spark: SparkSession, sf: str) -> DataFrame:
     return R.best_run(R.with_config(_runs(spark, sf), R.config_grid(spark))).select("run_no", "failed", "output_tokens_per_s", "config.*")
 
 
+@query(f"SELECT run_no, failed, output_tokens_per_s FROM {RUNS}")
+def stored_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports that were stored as JSON, one to a file, and read back."""
+    path = scratch(spark, "reports")
+    _runs(spark, sf).repartition("run_no").write.partitionBy("run_no").json(path)
+    return Q.reports(spark, path).select(F.col("run_no").cast("int"), F.col("failed").cast("long"), F.col("output_tokens_per_s").cast("double"))
+
+
 PROMPTS = "(SELECT c_custkey AS request, 'Describe order ' || c_custkey AS prompt, c_custkey % 3 AS kind FROM customer)"
 
 

@@ -5,9 +5,12 @@ Every expression below has a name and what it needs; chain() puts together those
 
 from __future__ import annotations
 
-TOK = """SELECT v.video_id, f.frame, t.token,
+#: One video for each hundred embeddings, three at least.
+VIDEOS = "(SELECT unnest(range(greatest(3, (SELECT (count(*) + 99) // 100 FROM embeddings)))) AS video_id)"
+
+TOK = f"""SELECT v.video_id, f.frame, t.token,
   list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE + 0.25::DOUBLE * b.embedding[i]::DOUBLE) AS vec
-FROM (SELECT unnest(range(3)) AS video_id) v, (SELECT unnest(range(20))::INT AS frame) f, (SELECT unnest(range(20))::INT AS token) t,
+FROM {VIDEOS} v, (SELECT unnest(range(20))::INT AS frame) f, (SELECT unnest(range(20))::INT AS token) t,
   (SELECT count(*) AS m FROM embeddings) c
 JOIN embeddings a ON a.vec_id = ((f.frame // 5) * 20 + t.token + 137 * v.video_id) % c.m
 JOIN embeddings b ON b.vec_id = ((f.frame * 20 + t.token) * 7 + 3 + 137 * v.video_id) % c.m"""
@@ -106,7 +109,7 @@ MERGED = """SELECT video_id, frame, token, list(a ORDER BY p) AS vec, any_value(
 DIST0 = """SELECT a.video_id, a.frame, a.token AS i, b.token AS j, a.n, a.k, b.valid, round(list_distance(a.vec, b.vec) / sqrt(len(a.vec)::DOUBLE), 9) AS d0
 FROM pts a JOIN pts b USING (video_id, frame)"""
 
-DIST = "SELECT *, CASE WHEN valid THEN d0 ELSE max(d0) OVER (PARTITION BY video_id, frame) + 1 END AS d FROM dist0"
+DIST = "SELECT *, CASE WHEN valid THEN d0 ELSE (SELECT max(d0) FROM dist0) + 1 END AS d FROM dist0"
 
 NEAR = "SELECT *, row_number() OVER (PARTITION BY video_id, frame, i ORDER BY d, j) AS rk FROM dist"
 
@@ -157,7 +160,7 @@ PARTS = {
     "calrow": (CALROW, ("cal",)),
     "second": (SECOND, ("cal",)),
     "first": (FIRST, ("second",)),
-    "targets": ("SELECT video_id, 20::BIGINT AS frames, 20::BIGINT AS tpf, 400::BIGINT AS total, 100::BIGINT AS target, 70::BIGINT AS diverse FROM range(3) r(video_id)", ()),
+    "targets": ("SELECT video_id, 20::BIGINT AS frames, 20::BIGINT AS tpf, 400::BIGINT AS total, 100::BIGINT AS target, 70::BIGINT AS diverse FROM " + VIDEOS, ()),
     "evenly": ("SELECT video_id, f.frame, tpf AS capacity, diverse AS budget FROM targets, (SELECT unnest(range(20))::INT AS frame) f", ("targets",)),
     "counts": (alloc("evenly"), ("evenly",)),
     "greedy": (GREEDY, ("first", "calrow", "counts")),
@@ -215,7 +218,7 @@ NEEDS = {"targets": (), "pts": ("vid",), "counts": ()}
 
 def targets(ratio: float, alpha: float) -> str:
     return f"""SELECT video_id, 20::BIGINT AS frames, 20::BIGINT AS tpf, total, target, least(target, ceil(target::DOUBLE * {alpha}::DOUBLE)::BIGINT) AS diverse FROM (
-  SELECT video_id, 400::BIGINT AS total, ceil(400::DOUBLE * {ratio}::DOUBLE)::BIGINT AS target FROM range(3) r(video_id))"""
+  SELECT video_id, 400::BIGINT AS total, ceil(400::DOUBLE * {ratio}::DOUBLE)::BIGINT AS target FROM {VIDEOS})"""
 
 
 def compressed(ratio: float, alpha: float = 0.7) -> str:

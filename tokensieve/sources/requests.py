@@ -29,19 +29,25 @@ def events_as_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_as_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(request, seq, ts, value): the events as lines of event streams, a request for each user.
 
-    Even events are data lines with a count of chunks, every third of them with usage; the rest are comments or ends.
+    Even events are data lines with a count of chunks, every third of them with usage, and every 23rd is cut off; the rest
+    are comments or ends.
     """
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.coalesce(F.get_json_object("props", "$.k").cast("string"), F.lit("0"))
     usage = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(', "usage": {"completion_tokens": '), k, F.lit("}"))).otherwise("")
-    data = F.concat(F.lit('data: {"id": '), F.col("event_id").cast("string"), usage, F.lit("}"))
+    data = F.concat(F.lit('data: {"id": '), F.col("event_id").cast("string"), F.when(F.col("event_id") % 46 != 0, F.concat(usage, F.lit("}"))).otherwise(""))
     line = F.when(F.col("event_id") % 2 == 0, data).when(F.col("event_id") % 5 == 0, "data: [DONE]").otherwise(": ping")
     return e.select(F.col("user_id").alias("request"), F.col("event_id").alias("seq"), "ts", line.alias("value"))
 
 
 def event_stream_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of stored event streams, with their file."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("request"), "value")
+    """(request, seq, ts, value): the lines of stored event streams, one request to a file, in their order.
+
+    ts is the time at which the file was stored; a file is read by one task.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("request"), F.col("_metadata.file_modification_time").alias("ts"), "value")
+    lines = whole.select("request", "ts", F.posexplode(F.split("value", "\r?\n")).alias("seq", "value"))
+    return lines.select("request", F.col("seq").cast("long"), "ts", "value").filter("value != ''")
 
 
 def reports(spark: SparkSession, path: str) -> DataFrame:
