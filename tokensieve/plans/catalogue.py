@@ -152,14 +152,14 @@ def ragged_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return A.ragged_offsets(spark.read.parquet(f"{sf}/customer.parquet").select(key.alias("video_id"), *sizes))
 
 
-@query(O.chain("SELECT video_id, frame, i, j, round(cal, 3) + 0.0 AS cal FROM cal", "cal"))
+@query(O.chain("SELECT video_id, frame, i, j, round(cal, 1) + 0.0 AS cal FROM cal", "cal"))
 def calibrated_distance(spark: SparkSession, sf: str) -> DataFrame:
-    return P.calibrated_distances(derived_videos(spark, sf)).select("video_id", "frame", "i", "j", F.round("cal", 3).alias("cal"))
+    return P.calibrated_distances(derived_videos(spark, sf)).select("video_id", "frame", "i", "j", F.round("cal", 1).alias("cal"))
 
 
-@query(O.chain("SELECT video_id, frame, token, round(nearest, 3) + 0.0 AS nearest FROM first", "first"))
+@query(O.chain("SELECT video_id, frame, token, round(nearest, 1) + 0.0 AS nearest FROM first", "first"))
 def adts_first_pick(spark: SparkSession, sf: str) -> DataFrame:
-    return P.first_picks(derived_videos(spark, sf)).select("video_id", "frame", "token", F.round("nearest", 3).alias("nearest"))
+    return P.first_picks(derived_videos(spark, sf)).select("video_id", "frame", "token", F.round("nearest", 1).alias("nearest"))
 
 
 def _counts(tokens: DataFrame, config: CompressionConfig = QUARTER) -> DataFrame:
