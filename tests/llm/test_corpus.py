@@ -635,10 +635,36 @@ def test_graph_reaches_all_and_search_finds_what_is_near(monkeypatch):
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         links = vectors.graph(x, 1)
         sims = x @ x.T
-        seen = vectors.search(sims, links.astype(np.int64), vectors.medoid(x), 12)
+        computed = []
+        monkeypatch.setattr(vectors, "cosines", lambda q, x, rows, cols, of=vectors.cosines: computed.append(len(rows)) or of(q, x, rows, cols))
+        rows, cols, cos = vectors.search(x, x, links.astype(np.int64), vectors.medoid(x), 12)
+        monkeypatch.undo()
+        assert np.allclose(cos, sims[rows, cols]) and len(set(zip(rows.tolist(), cols.tolist(), strict=True))) == len(rows)
+        seen = np.zeros(sims.shape, bool)
+        seen[rows, cols] = True
         own = seen[np.arange(300), np.arange(300)]
         near = sims >= 0.9
         assert own.mean() > 0.9 and (seen & near)[own].sum() >= 0.99 * near[own].sum()
+        assert sum(computed) < 0.8 * sims.size  # only what is visited
+
+
+def test_vectors_of_several_dimensions(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.99, 0.05]), (3, [1.0, 0.0, 0.0]), (4, [0.9, 0.1, 0.0]), (5, [0.0, 0.0, 1.0]), (6, [1.0]), (7, [1.0, 0.0, 0.0, 0.0])]
+    got = by_id(vectors.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "vec_id")
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6), 7: (0, 7)}
+
+
+def test_audit_looks_for_links(spark):
+    """Where links are rare the audit asks more; missing ones lower the recall."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 12))
+    x[1400:] = x[:100] + 0.01 * rng.normal(size=(100, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, 1, bytes(v.tobytes())) for i, v in enumerate(x)], "node long, mult long, v binary")
+    links = (x @ x.T >= 0.9).sum(1) - 1
+    found = spark.createDataFrame([(i, int(n), i) for i, n in enumerate(links)], "node long, n_links long, root long")
+    assert vectors.audit(nodes, found, 16) == 1
+    assert vectors.audit(nodes, found.filter("node < 50 OR node >= 1400"), 16) < 0.9
 
 
 def test_vector_blocks_of_large_shards(spark, monkeypatch):
