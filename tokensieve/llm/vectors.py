@@ -4,7 +4,7 @@ Equal vectors are one node. Spherical k-means on a bounded sample gives centres;
 its OVERLAP nearest centres, and a shard larger than SHARD is dealt into blocks. Each block builds its graph: a node's
 pool (its nearest and some random residents) is robust-pruned, and a node that the medoid can't reach gets an edge.
 A node's lists from all its blocks are united. Then every resident of a block is searched for in the block, and in the
-other blocks of its shard: a beam moves greedily from the medoid along the united lists, and from where it ends the
+other blocks of its shard, which search it in their turn: a beam moves greedily from the medoid along the united lists, and from where it ends the
 search widens over all nodes within range. Only the cosines of what a search visits are computed, in double precision. A
 search that misses the node itself, though it resides there, runs again with a wider beam. A pair that meets in several
 shards counts in the first that both share.
@@ -211,6 +211,16 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[move], ids[root[move]]
 
 
+def edges(block: pd.DataFrame) -> np.ndarray:
+    """The united lists of a block's nodes, sorted by node, as places in the block: edges of all shards that end in it."""
+    ids, lists = block["node"].to_numpy(), block["links"].tolist()
+    links = np.full((len(ids), max(1, max(len(v) for v in lists))), -1, np.int64)
+    for i, v in enumerate(lists):
+        links[i, : len(v)] = v
+    at = np.searchsorted(ids, links).clip(0, len(ids) - 1)
+    return np.where((links >= 0) & (ids[at] == links), at, -1)
+
+
 def _search(pdf: pd.DataFrame, beam: int) -> pd.DataFrame:
     """Links of two blocks r <= q of a shard, from rows (shard, r, q, own, node, mult, v, shards, links); own: the row's block.
 
@@ -224,14 +234,11 @@ def _search(pdf: pd.DataFrame, beam: int) -> pd.DataFrame:
     ids, asked = residents["node"].to_numpy(), queries["node"].to_numpy()
     x = matrix(residents["v"])
     of = x if r == q else matrix(queries["v"])
-    lists = residents["links"].tolist()
-    links = np.full((len(ids), max(1, max(len(v) for v in lists))), -1, np.int64)
-    for i, v in enumerate(lists):
-        links[i, : len(v)] = v
-    at = np.searchsorted(ids, links).clip(0, len(ids) - 1)
-    links = np.where((links >= 0) & (ids[at] == links), at, -1)  # edges of all shards, if they end in this block
-    start = medoid(x)
+    links, start = edges(residents), medoid(x)
     found = [search(of, x, links, start, min(beam, len(ids)))]
+    if r != q:  # and the other way round: either may find a pair
+        rows, cols, cos = search(x, of, edges(queries), medoid(of), min(beam, len(asked)))
+        found.append((cols, rows, cos))
     if r == q:
         own = np.zeros(len(ids), bool)
         while True:
@@ -246,9 +253,9 @@ def _search(pdf: pd.DataFrame, beam: int) -> pd.DataFrame:
     a, b, cos = (np.concatenate(v) for v in zip(*found, strict=True))
     use = (cos >= THRESHOLD) & (asked[a] != ids[b])
     a, b = a[use], b[use]
-    if r == q:  # a pair that either search found is one link
-        pair = np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b))
-        a, b = pair // len(ids), pair % len(ids)
+    low, high = (np.minimum(a, b), np.maximum(a, b)) if r == q else (a, b)
+    pair = np.unique(low * len(ids) + high)  # a pair that either search found is one link
+    a, b = pair // len(ids), pair % len(ids)
     mine, theirs = np.array(queries["shards"].tolist())[a], np.array(residents["shards"].tolist())[b]
     if len(a):
         meets = (mine[:, :, None] == theirs[:, None, :]).any(2)
