@@ -447,6 +447,20 @@ def test_dropout_varies_with_each_occurrence(pieces):
     assert len(set(want[0])) > 8 and want[0] != want[1]
 
 
+def test_units_and_tables():
+    texts = ["", "a", " ", "a  b", "\n\n a\n b  \n", "x \n", "  lead", "tail  ", "é\u2581 🎉\n\n", "a" * 200 + " b"]
+    for t in texts:
+        codes = np.frombuffer(f" {t}".encode("utf-32-le"), np.uint32)
+        at = subword.unit_starts(codes, np.array([0])).tolist()
+        assert [f" {t}"[a:b] for a, b in zip(at, [*at[1:], len(t) + 1], strict=True)] == subword.UNIT.findall(" " + t)
+    table, rng = subword.Table(4), np.random.default_rng(1)
+    a, b = rng.integers(0, 50, 3000).astype(np.uint64), rng.integers(0, 1 << 40, 3000).astype(np.uint64)
+    for at in range(0, 3000, 500):
+        assert (table.find(a[at:], b[at:]) == -1).all()
+        table.add(a[at : at + 500], b[at : at + 500], np.arange(at, at + 500))
+        assert table.find(a[: at + 500], b[: at + 500]).tolist() == list(range(at + 500))
+
+
 @pytest.mark.parametrize("rate", [0.1, 0.4, 0.9])
 def test_remembered_states_equal_the_heap(pieces, rate):
     """Whole texts, time and again, from a memory that fills and is emptied: each unit is what its own key makes it."""
@@ -460,7 +474,7 @@ def test_remembered_states_equal_the_heap(pieces, rate):
             keys = encoder.keys(units, np.full(len(units), start, np.uint64), np.arange(len(units)))
             assert ids == b"".join(np.array(subword.merge_keyed(pieces, u, int(k), encoder.limit), "<u4").tobytes() for u, k in zip(units, keys, strict=True))
         if turn == 2:
-            assert encoder.children
+            assert encoder.children.size
             encoder.forget()
 
 

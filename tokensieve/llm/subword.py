@@ -18,9 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +40,7 @@ CHOICES = 63
 #: Units whose candidates are hashed at once.
 HASHED = 1 << 15
 #: Units: blanks with the word after them, or runs of line feeds, or blanks alone. The model has no piece that joins a line feed to anything.
-UNIT = re.compile(r" *[^ \n]+|\n+| +")
+UNIT = re.compile(r" *[^ \n]+|\n+| +")  # what unit_starts() finds
 BLANK = "▁"
 NEVER = np.iinfo(np.int32).max
 M64 = (1 << 64) - 1
@@ -115,22 +113,38 @@ class Pieces:
 
 
 _CODES = mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_PLACES = mix(np.arange(1, SHORT + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+_PLACES = mix(np.arange(1, 2 * SHORT + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).reshape(2, SHORT) | np.uint64(1)
+
+
+def unit_starts(codes: np.ndarray, text_at: np.ndarray) -> np.ndarray:
+    """Where the units of texts start, that are joined as code points."""
+    feed, blank = codes == 10, codes == 32
+    start = np.empty(len(codes), bool)
+    start[1:] = (feed[1:] != feed[:-1]) | (blank[1:] & ~blank[:-1])
+    start[text_at] = True
+    return np.flatnonzero(start)
+
+
+def unit_hashes(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each unit: its characters' codes times the multipliers of their places, summed up and mixed."""
+    out = np.empty((2, len(starts)), np.uint64)
+    for at in range(0, len(starts), HASHED):
+        a, n = starts[at : at + HASHED], sizes[at : at + HASHED]
+        part = codes[a[0] : a[-1] + n[-1]]
+        place = (np.arange(len(part)) - np.repeat(a - a[0], n)) % SHORT
+        code = _CODES[part]
+        for k in range(2):
+            out[k, at : at + HASHED] = np.add.reduceat(code * _PLACES[k][place], a - a[0]) + n.astype(np.uint64)
+        for i in np.flatnonzero(n > SHORT).tolist():
+            out[:, at + i] = xxhash.xxh64_intdigest(codes[a[i] : a[i] + n[i]].tobytes())
+    return mix(out[0] + np.uint64(seed * 0xD6E8FEB86659FD93 & M64)), mix(out[1])
 
 
 def unit_keys(units: list[str], seed: int) -> np.ndarray:
-    """A hash of each unit: its characters' codes times the multipliers of their places, summed up and mixed."""
-    out = np.zeros(len(units), np.uint64)
-    for at in range(0, len(units), HASHED):
-        part = units[at : at + HASHED]
-        sizes = np.fromiter(map(len, part), np.int64, len(part))
-        starts = np.cumsum(sizes) - sizes
-        code = _CODES[np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        place = np.arange(len(code)) - np.repeat(starts, sizes)
-        out[at : at + HASHED] = np.add.reduceat(code * _PLACES[place % SHORT], starts) + sizes.astype(np.uint64)
-        for i in np.flatnonzero(sizes > SHORT).tolist():
-            out[at + i] = xxhash.xxh64_intdigest(part[i].encode("utf-8", "surrogatepass"))
-    return mix(out + np.uint64(seed * 0xD6E8FEB86659FD93 & M64))
+    """The first hash of each unit."""
+    sizes = np.fromiter(map(len, units), np.int64, len(units))
+    codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return unit_hashes(codes, np.cumsum(sizes) - sizes, sizes, seed)[0] if units else np.zeros(0, np.uint64)
 
 
 def place_of(start, middle, end):
@@ -288,6 +302,68 @@ def among(table: np.ndarray, numbers: np.ndarray, places: np.ndarray) -> np.ndar
     return (table[numbers] == places[:, None]).any(1)
 
 
+class Table:
+    """Numbers by pairs of 64 bits, for many at once: open addressing in arrays that hold at most half of what they could."""
+
+    def __init__(self, bits: int = 16):
+        self.a, self.b = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.value = np.full(1 << bits, -1, np.int64)
+        self.mask, self.size = np.uint64((1 << bits) - 1), 0
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The number of each pair, or -1."""
+        out = np.full(len(a), -1, np.int64)
+        todo, at = np.arange(len(a)), (a & self.mask).astype(np.int64)
+        while len(todo):
+            value = self.value[at]
+            hit = (self.a[at] == a[todo]) & (self.b[at] == b[todo]) & (value >= 0)
+            out[todo[hit]] = value[hit]
+            go = ~hit & (value >= 0)
+            todo, at = todo[go], (at[go] + 1) & int(self.mask)
+        return out
+
+    def add(self, a: np.ndarray, b: np.ndarray, value: np.ndarray) -> None:
+        """Pairs that aren't there yet, all different."""
+        if 2 * (self.size + len(a)) > len(self.value):
+            old, used = self, self.value >= 0
+            bits = (2 * (self.size + len(a))).bit_length() + 1
+            a, b, value = (np.concatenate((x[used], y)) for x, y in ((old.a, a), (old.b, b), (old.value, value)))
+            self.__init__(bits)
+        self.size += len(a)
+        todo, at = np.arange(len(a)), (a & self.mask).astype(np.int64)
+        while len(todo):
+            free = self.value[at] < 0
+            self.value[at[free]] = value[todo[free]]  # of several at one place the last one stays
+            won = free & (self.value[at] == value[todo])
+            self.a[at[won]], self.b[at[won]] = a[todo[won]], b[todo[won]]
+            todo, at = todo[~won], at[~won]
+            at = np.where(self.value[at] >= 0, (at + 1) & int(self.mask), at)
+
+
+class Runs:
+    """Runs of numbers, one after another."""
+
+    def __init__(self, dtype):
+        self.flat, self.ends = np.zeros(1 << 12, dtype), np.zeros(1, np.int64)
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        last = int(self.ends[-1])
+        if last + len(values) > len(self.flat):
+            self.flat = np.concatenate((self.flat[:last], np.zeros(last + len(values), self.flat.dtype)))
+        self.flat[last : last + len(values)] = values
+        self.ends = np.concatenate((self.ends, last + np.cumsum(sizes)))
+
+    def size(self, which: np.ndarray) -> np.ndarray:
+        return self.ends[which + 1] - self.ends[which]
+
+    def of(self, which: np.ndarray) -> np.ndarray:
+        n = self.size(which)
+        return self.flat[np.repeat(self.ends[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    def bytes_of(self, which: int) -> bytes:
+        return self.flat[self.ends[which] : self.ends[which + 1]].tobytes()
+
+
 class Encoder:
     """Encodes texts; one per process. Memory: the model and the remembered states."""
 
@@ -297,66 +373,72 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.roots: dict[str, int] = {}
-        #: (state, bits of the skipped ones of its candidates) -> state.
-        self.children: dict[tuple[int, int], int] = {}
-        #: By state: the unit, ids, places of the candidates met first here, those met before, those skipped.
+        #: Two hashes of a unit -> state; (a hash of state and bits, bits of the skipped ones of its candidates) -> state.
+        self.roots, self.children = Table(), Table()
+        #: By state: ids, places of the candidates met first here; the unit, the places met before, those skipped.
+        self.ids, self.met = Runs(np.uint32), Runs(np.uint64)
         self.unit: list[str] = []
-        self.ids: list[bytes] = []
-        self.met: list[bytes] = []
         self.known: list[bytes] = []
         self.left: list[bytes] = []
         #: By hash, what was asked for once; a clash only means that something is remembered the first time.
-        self.once = bytearray(ONCE)
+        self.once = np.zeros(ONCE, bool)
 
     def keys(self, units: list[str], starts: np.ndarray, places: np.ndarray) -> np.ndarray:
         """The key of each unit at its place in the document that starts names."""
-        return mix(unit_keys(units, self.seed) + mix(starts + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-
-    def worth(self, wanted: Counter) -> list:
-        """Those asked for a second time."""
-        again = []
-        for x, n in wanted.items():
-            at = hash(x) % ONCE
-            if n > 1 or self.once[at]:
-                again.append(x)
-            else:
-                self.once[at] = 1
-        return again
-
-    def add(self, units: list[str], known: list[bytes], left: list[bytes]) -> range:
+        return self.placed(unit_keys(units, self.seed), starts, places)
+
+    @staticmethod
+    def placed(own: np.ndarray, starts: np.ndarray, places: np.ndarray) -> np.ndarray:
+        return mix(own + mix(starts + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+    def worth(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """One place of each pair that is asked for a second time."""
+        names = a ^ mix(b)
+        _, first, many = np.unique(names, return_index=True, return_counts=True)
+        at = (names[first] % np.uint64(ONCE)).astype(np.int64)
+        again = (many > 1) | self.once[at]
+        self.once[at[~again]] = True
+        return first[again]
+
+    def add(self, units: list[str], known: list[bytes], left: list[bytes]) -> np.ndarray:
         """New states: units merged without the candidates of left."""
-        first, table, old, met = len(self.ids), padded(left), padded(known), []
-        self.ids += merge_many(self.pieces, units, lambda numbers, places: among(table, numbers, places), met)
+        first, table, old, met = len(self.unit), padded(left), padded(known), []
+        found = merge_many(self.pieces, units, lambda numbers, places: among(table, numbers, places), met)
+        self.ids.add(np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4)
         numbers, places = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
         new = ~among(old, numbers, places)
         numbers, places = numbers[new], places[new]
-        order = np.argsort(numbers, kind="stable")
-        cut = np.searchsorted(numbers[order], np.arange(len(units) + 1)) * 8
-        flat = places[order].tobytes()
-        self.met += [flat[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
+        self.met.add(places[np.argsort(numbers, kind="stable")], np.bincount(numbers, minlength=len(units)))
         self.unit += units
         self.known += known
         self.left += left
-        return range(first, len(self.ids))
+        return np.arange(first, len(self.unit))
 
-    def learn(self, units: list[str]) -> None:
+    def learn(self, units: list[str], a: np.ndarray, b: np.ndarray) -> None:
         none = [b""] * len(units)
-        self.roots.update(zip(units, self.add(units, none, none), strict=True))
+        self.roots.add(a, b, self.add(units, none, none))
 
-    def branch(self, pairs: list[tuple[int, int]]) -> None:
-        left = [self.left[at] + b"".join([self.met[at][8 * i : 8 * i + 8] for i in range(bits.bit_length()) if bits >> i & 1]) for at, bits in pairs]
-        known = [self.known[at] + self.met[at] for at, _ in pairs]
-        self.children.update(zip(pairs, self.add([self.unit[at] for at, _ in pairs], known, left), strict=True))
+    @staticmethod
+    def step(state: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """With the same bits, different states have different hashes."""
+        return mix(mix(bits) + state.astype(np.uint64))
+
+    def branch(self, state: np.ndarray, bits: np.ndarray) -> None:
+        left, known = [], []
+        for at, b in zip(state.tolist(), bits.tolist(), strict=True):
+            met = self.met.bytes_of(at)
+            left.append(self.left[at] + b"".join([met[8 * i : 8 * i + 8] for i in range(b.bit_length()) if b >> i & 1]))
+            known.append(self.known[at] + met)
+        self.children.add(self.step(state, bits), bits, self.add([self.unit[at] for at in state.tolist()], known, left))
 
     def skipped(self, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bits of the state's candidates that each key skips, whether there are too many to say)."""
         bits, many = np.zeros(len(state), np.uint64), np.zeros(len(state), bool)
         for at in range(0, len(state), HASHED):
-            found = [self.met[k] for k in state[at : at + HASHED].tolist()]
-            n = np.fromiter(map(len, found), np.int64, len(found)) // 8
-            owner = np.repeat(np.arange(len(found)), n)
-            hit = np.flatnonzero(dropped(key[at : at + HASHED][owner], np.frombuffer(b"".join(found), np.uint64), self.limit))
+            part = state[at : at + HASHED]
+            n = self.met.size(part)
+            owner = np.repeat(np.arange(len(part)), n)
+            hit = np.flatnonzero(dropped(key[at : at + HASHED][owner], self.met.of(part), self.limit))
             which = hit - (np.cumsum(n) - n)[owner[hit]]
             np.bitwise_or.at(bits[at : at + HASHED], owner[hit], np.uint64(1) << (which % 64).astype(np.uint64))
             many[at : at + HASHED] = n > CHOICES
@@ -364,41 +446,65 @@ class Encoder:
 
     def encode(self, texts: list[str | None], starts: list[int]) -> list[bytes | None]:
         """Ids as little-endian uint32 for each text; starts: the key of each document, of 64 bits."""
-        if len(self.ids) > CACHED:
+        if len(self.unit) > CACHED:
             self.forget()
-        cut = [UNIT.findall(" " + t) if t else [] for t in texts]
-        units = [u for c in cut for u in c]
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        ends = np.cumsum(sizes)
-        document = np.repeat(np.fromiter((v & M64 for v in starts), np.uint64, len(cut)), sizes)
-        key = self.keys(units, document, np.arange(len(units)) - np.repeat(ends - sizes, sizes))
-        state = np.fromiter(map(self.roots.get, units, repeat(-1)), np.int64, len(units))
-        new = np.flatnonzero(state < 0).tolist()
-        self.learn(self.worth(Counter([units[i] for i in new if len(units[i]) <= SHORT])))
-        state[new] = np.fromiter((self.roots.get(units[i], -1) for i in new), np.int64, len(new))
+        some = [i for i, t in enumerate(texts) if t]
+        out: list[bytes | None] = [None if t is None else b"" for t in texts]
+        if not some:
+            return out
+        joined = "".join([f" {texts[i]}" for i in some])
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.fromiter((len(texts[i]) + 1 for i in some), np.int64, len(some))
+        text_at = np.cumsum(lengths) - lengths
+        start = unit_starts(codes, text_at)
+        sizes = np.diff(start, append=len(codes))
+        n_units = np.diff(np.searchsorted(start, text_at), append=len(start))
+        first = np.cumsum(n_units) - n_units
+        own, other = unit_hashes(codes, start, sizes, self.seed)
+        document = np.repeat(np.fromiter((starts[i] & M64 for i in some), np.uint64, len(some)), n_units)
+        key = self.placed(own, document, np.arange(len(start)) - np.repeat(first, n_units))
+
+        def spelled_out(which: np.ndarray) -> list[str]:
+            return [joined[a:b] for a, b in zip(start[which].tolist(), (start[which] + sizes[which]).tolist(), strict=True)]
+
+        state = self.roots.find(own, other)
+        new = np.flatnonzero((state < 0) & (sizes <= SHORT))
+        fresh = new[self.worth(own[new], other[new])]
+        self.learn(spelled_out(fresh), own[fresh], other[fresh])
+        state[new] = self.roots.find(own[new], other[new])
         again = [np.flatnonzero(state < 0)]
         at = np.flatnonzero(state >= 0) if self.limit else again[0][:0]
         while len(at):
             bits, many = self.skipped(state[at], key[at])
             again.append(at[many & (bits > 0)])
-            some = (bits > 0) & ~many
-            at, pairs = at[some], list(zip(state[at[some]].tolist(), bits[some].tolist(), strict=True))
-            to = np.fromiter(map(self.children.get, pairs, repeat(-1)), np.int64, len(pairs))
-            new = np.flatnonzero(to < 0).tolist()
-            self.branch(self.worth(Counter([pairs[i] for i in new])))
-            to[new] = np.fromiter((self.children.get(pairs[i], -1) for i in new), np.int64, len(new))
+            go = (bits > 0) & ~many
+            at, bits = at[go], bits[go]
+            step = self.step(state[at], bits)
+            to = self.children.find(step, bits)
+            new = np.flatnonzero(to < 0)
+            fresh = new[self.worth(step[new], bits[new])]
+            self.branch(state[at[fresh]], bits[fresh])
+            to[new] = self.children.find(step[new], bits[new])
             again.append(at[to < 0])
-            at = at[to >= 0]
-            state[at] = to[to >= 0]
-        parts = [self.ids[k] if k >= 0 else b"" for k in state.tolist()]
-        todo = np.concatenate(again).tolist()
-        short = [i for i in todo if len(units[i]) <= SHORT]
-        for i, ids in zip(short, merge_many(self.pieces, [units[i] for i in short], lambda numbers, places, own=key[short]: dropped(own[numbers], places, self.limit)), strict=True):
-            parts[i] = ids
-        for i in todo:
-            if len(units[i]) > SHORT:
-                parts[i] = np.array(merge_keyed(self.pieces, units[i], int(key[i]), self.limit), "<u4").tobytes()
-        return [b"".join(parts[e - n : e]) if t is not None else None for t, n, e in zip(texts, sizes.tolist(), ends.tolist(), strict=True)]
+            at, to = at[to >= 0], to[to >= 0]
+            state[at] = to
+        todo = np.concatenate(again)
+        short, long = todo[sizes[todo] <= SHORT], todo[sizes[todo] > SHORT]
+        parts = merge_many(self.pieces, spelled_out(short), lambda numbers, places: dropped(key[short][numbers], places, self.limit))
+        parts += [np.array(merge_keyed(self.pieces, u, int(k), self.limit), "<u4").tobytes() for u, k in zip(spelled_out(long), key[long].tolist(), strict=True)]
+        # one source of ids, the remembered ones and then these
+        known = int(self.ids.ends[-1])
+        source = np.concatenate((self.ids.flat[:known], np.frombuffer(b"".join(parts), "<u4")))
+        n = self.ids.size(state)
+        begin = self.ids.ends[state]
+        redone = np.concatenate((short, long))
+        n[redone] = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        begin[redone] = known + np.cumsum(n[redone]) - n[redone]
+        ids = source[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype("<u4").tobytes()
+        ends = 4 * np.cumsum(n)[first + n_units - 1]
+        for i, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            out[i] = ids[a:b]
+        return out
 
 
 _encoders: dict[tuple, Encoder] = {}
