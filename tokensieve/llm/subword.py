@@ -34,7 +34,7 @@ DROPOUT = 0.1
 SEED = 7
 #: Units up to this many characters are merged as columns; repeated ones are remembered. From CACHED states on the
 #: memory is emptied before the next batch, which adds at most a state for each of its units.
-SHORT, CACHED, ONCE = 64, 150_000, 1 << 21
+SHORT, CACHED, ONCE = 64, 100_000, 1 << 21
 #: A state with more candidates than this has no children: bits of a word name the skipped ones.
 CHOICES = 63
 #: Units whose candidates are hashed at once.
@@ -528,7 +528,7 @@ def decode_ids(pieces: Pieces, ids: list[int]) -> str:
     return spelled(pieces.raw, ids)
 
 
-def groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[slice]:
+def groups(texts: list[str | None], most: int = 1 << 19) -> Iterator[slice]:
     """Runs of texts of about so many characters, so that a batch's units stay few."""
     at = held = 0
     for i, t in enumerate(texts):
