@@ -766,3 +766,35 @@ def test_letters_of_equal_structure_differ(spark):
         want[i] = sum(gone)
     got = by_id(substring_dedup.substring_dedup(spark, frame(spark, rows)))
     assert {i: r["n_removed"] for i, r in got.items()} == want
+
+
+def test_near_dedup_of_a_template(spark):
+    """Documents made of one template are alike, but not enough; planted copies among them are found, all of them."""
+    rng = np.random.default_rng(21)
+    base = prose(rng, 150).split()
+    rows, pairs = [], []
+    for i in range(1000):
+        w = base.copy()
+        for at in rng.choice(np.arange(2, 148), 7, replace=False):
+            w[at] = f"t{i}x{at}"
+        rows.append((i, " ".join(w)))
+        if i % 3 == 0:
+            w = w.copy()
+            w[int(rng.integers(0, 150))] = "copied"
+            rows.append((10_000 + i, " ".join(w)))
+            pairs.append((i, 10_000 + i))
+    sets = {i: shingle_set(t) for i, t in rows}
+    holders = collections.defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    asked = [i for i in sets if i % 20 == 0]  # the recall of links, against all rows
+    links = []
+    for i in asked:
+        same = collections.Counter(j for x in sets[i] for j in holders[x] if j != i)
+        links += [(i, j) for j, n in same.items() if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n)]
+    got = {i: r["component_id"] for i, r in by_id(near_dedup.near_dedup(spark, frame(spark, rows, extra=False))).items()}
+    linked = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert len(linked) > 300 and len(links) >= 15
+    assert all(got[a] == got[b] for a, b in linked + links)
+    assert len(set(got.values())) > 500
