@@ -1,8 +1,11 @@
 """The registered queries on the smallest tables: SQL where there is some, else brute force or held-out accuracy."""
 
+import collections
 import hashlib
+import math
 import os
 import re
+import zlib
 from pathlib import Path
 
 import duckdb
@@ -10,7 +13,7 @@ import numpy as np
 import pytest
 from test_corpus import WORD, base_spans, by_id, groups_of, shingle_set
 
-from tokensieve.llm import catalogue, personal
+from tokensieve.llm import catalogue, common, personal, quality, subword
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -89,6 +92,53 @@ def test_op5(duck, run):
     assert len(right) > 20 and np.mean(right) >= 0.95
 
 
+def test_op4_equals_its_rules(spark, docs, run):
+    """The registered scores are those of the rules, applied one by one in Python."""
+    table = common.documents(spark, SF)
+    rules, intercept = quality.model_of(spark, table, SF)
+    got = run("op4_quality")
+    x = {r["doc_id"]: np.array(list(r["_f"])) for r in quality.with_features(table.selectExpr("doc_id", "text AS _t"), "_t").collect()}
+    assert set(got) == set(docs)
+    for i, r in got.items():
+        total = intercept + sum(w for rule, w in rules if all((x[i][f] > cut) == above for f, above, cut in rule))
+        assert abs(r["score"] - 1 / (1 + math.exp(-total))) < 1e-9 and r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def plain_buckets(text):
+    """The buckets of a text's n-grams, one after another."""
+    codes = [ord(c) if c.isalpha() else 32 for c in (text or "").lower()]
+    for at in range(len(codes)):
+        h = 0
+        for n in range(3):
+            if at + n >= len(codes):
+                break
+            h = (h + codes[at + n]) * 0x9E3779B97F4A7C15 % 2**64
+            h ^= h >> 29
+            if any(c != 32 for c in codes[at : at + n + 1]):
+                yield (h * 0xD6E8FEB86659FD93 % 2**64) >> 48
+
+
+def test_op5_equals_plain_bayes(duck, docs, run):
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in docs}
+    lang = dict(duck.sql("SELECT doc_id, lang FROM documents").fetchall())
+    counts, number = collections.defaultdict(collections.Counter), collections.Counter()
+    for i, t in docs.items():
+        if not held[i] and lang[i] is not None:
+            counts[lang[i]].update(plain_buckets(t))
+            number[lang[i]] += 1
+    size = {x: sum(c.values()) + 0.5 * 65536 for x, c in counts.items()}
+    got = run("op5_language_id")
+    for i, t in docs.items():
+        found = collections.Counter(plain_buckets(t))
+        if not found:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        total = {x: math.log(number[x] / sum(number.values())) + sum(n * (math.log(counts[x][b] + 0.5) - math.log(size[x])) for b, n in found.items()) for x in sorted(counts)}
+        best = max(total, key=total.get)
+        score = 1 / sum(math.exp(v - total[best]) for v in total.values())
+        assert (got[i]["lang_pred"], got[i]["held_out"]) == (best, held[i]) and abs(got[i]["score"] - score) < 1e-3
+
+
 def test_op7(docs, run):
     seen, want = set(), {}
     for i, t in docs.items():
@@ -107,6 +157,14 @@ def test_op7(docs, run):
 def test_op9(docs, run):
     got = run("op9_subword_dropout")
     assert set(got) == set(docs) and all(r["lossless"] and r["n_tokens"] > 0 for r in got.values())
+    pieces = subword.Pieces.load()
+    encoder = subword.Encoder(pieces)
+    for i, t in docs.items():  # unit by unit, through the heap
+        units = subword.UNIT.findall(" " + t)
+        start = int.from_bytes(hashlib.blake2b(f"{subword.SEED}:{i}:1".encode(), digest_size=8).digest(), "little")
+        keys = encoder.keys(units, np.full(len(units), start, np.uint64), np.arange(len(units)))
+        ids = [x for u, k in zip(units, keys.tolist(), strict=True) for x in subword.merge_keyed(pieces, u, k, encoder.limit)]
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
 
 
 def test_op10(docs, run):
