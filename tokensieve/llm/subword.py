@@ -37,8 +37,8 @@ SEED = 7
 SHORT, CACHED, ONCE = 64, 100_000, 1 << 21
 #: A state with more candidates than this has no children: bits of a word name the skipped ones.
 CHOICES = 63
-#: Units whose candidates are hashed at once.
-HASHED = 1 << 15
+#: Units whose candidates are hashed at once; words that are compared at once; places of a table of units that merge together.
+HASHED, COMPARED, MERGED = 1 << 15, 1 << 19, 1 << 18
 #: Units: blanks with the word after them, or runs of line feeds, or blanks alone. The model has no piece that joins a line feed to anything.
 UNIT = re.compile(r" *[^ \n]+|\n+| +")  # what unit_starts() finds
 BLANK = "▁"
@@ -230,8 +230,9 @@ def merge_many(pieces: Pieces, units: list[str], skips: Skips, met: list[tuple[n
     for width in (4, 6, 8, 10, 12, 16, 24, 32, SHORT):
         members = np.flatnonzero((sizes > low) & (sizes <= width) & ~odd)
         low = width
-        for at in range(0, len(members), 1 << 14):
-            rows = members[at : at + (1 << 14)]
+        most = min(1 << 14, MERGED // width)
+        for at in range(0, len(members), most):
+            rows = members[at : at + most]
             done = _merge_block(pieces, ids, starts[rows], sizes[rows], rows, skips, met, width)
             ends = np.cumsum((done >= 0).sum(1)) * 4
             flat = done[done >= 0].astype("<u4").tobytes()
@@ -298,8 +299,11 @@ def padded(rows: list[bytes]) -> np.ndarray:
 
 
 def among(table: np.ndarray, numbers: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Whether each place stands in the row of table that numbers names."""
-    return (table[numbers] == places[:, None]).any(1)
+    """Whether each place stands in the row of table that numbers names; so many at once that COMPARED words are compared."""
+    out, most = np.zeros(len(numbers), bool), max(1, COMPARED // max(1, table.shape[1]))
+    for at in range(0, len(numbers), most):
+        out[at : at + most] = (table[numbers[at : at + most]] == places[at : at + most, None]).any(1)
+    return out
 
 
 class Table:
