@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -195,6 +196,36 @@ def test_near_dedup_of_odd_rows(spark):
     assert got == sorted([(None, 2, None, False), (1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True), (3, 0, 3, True)], key=str)
 
 
+def test_near_dedup_scatters_no_small_files(spark):
+    """Each file that an executor writes starts processes, so small tables are few files, however many partitions run."""
+    rows = corpus(3, 80)
+    sets = {i: shingle_set(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    with common.settings(spark, {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        got = by_id(near_dedup.near_dedup(spark, frame(spark, rows)))
+    files = [(p.name.split("-")[0], len(list(p.glob("part-*")))) for p in set(folder.iterdir()) - before]
+    assert {name for name, _ in files} >= {"candidates", "ends", "links", "tops", "edges", "hooks", "jump", "labels"}
+    assert max(n for name, n in files if name not in {"signatures", "sets", "nodes", "members"}) <= 2
+    assert {i: r["component_id"] for i, r in got.items()} == groups_of(links, sets)
+
+
+def test_near_dedup_takes_long_texts_in_bounded_batches(spark, monkeypatch):
+    """20 texts of 1 MB in one partition; a batch ends at 4 MB."""
+    whole = near_dedup._signatures
+
+    def watched(batches):
+        for batch in batches:
+            assert batch.nbytes < 6 << 20, batch.nbytes
+            yield from whole(iter([batch]))
+
+    monkeypatch.setattr(near_dedup, "_signatures", watched)
+    rows = [(i, f"word{i // 2} other{i // 2} " * 70_000) for i in range(20)]
+    got = by_id(near_dedup.near_dedup(spark, frame(spark, rows, extra=False).coalesce(1)))
+    assert {i: r["component_id"] for i, r in got.items()} == {i: i // 2 * 2 for i in range(20)}
+
+
 # passages
 
 

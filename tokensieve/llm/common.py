@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tokensieve.sources.scratch import scratch, stored
 
-__all__ = ["LOWER", "UPPER", "WORD", "documents", "lower_ascii", "partitions", "renamed", "restored", "scratch", "settings", "stored", "without"]
+__all__ = ["BATCHES", "LOWER", "UPPER", "WORD", "documents", "few", "lower_ascii", "partitions", "renamed", "restored", "scratch", "settings", "stored", "without"]
 
 #: Fixed values of the text contracts.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +30,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def few(spark: SparkSession, share: int = 16) -> int:
+    """Files for a table that is small beside the input, one for each `share` shuffle partitions.
+
+    Where Hadoop has no native library, an executor starts `chmod` three times for each file that it writes to a local
+    folder, and until that runs the new process shares the executor's whole memory. So small tables shouldn't be scattered.
+    """
+    return max(1, partitions(spark) // share)
+
+
+#: Arrow batches by bytes too: 10,000 rows of long texts, or of two sets each, take a GB.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
     """Session settings for what runs inside."""

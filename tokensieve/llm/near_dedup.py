@@ -241,9 +241,10 @@ def large_region_links(nodes: DataFrame, tops: DataFrame, texts: DataFrame) -> D
     members = known.select("node", "component", F.posexplode(labels).alias("tree", "base"))
     found = members.groupBy("tree", "base").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("print"), F.min("component").alias("low"), F.max("component").alias("high"))
     regions = found.filter((F.col("size") > WHOLE) & (F.col("low") != F.col("high"))).dropDuplicates(["size", "print"])
-    regions = common.stored(regions.select("tree", "base", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "regions")
-    members = common.stored(members.join(regions, ["tree", "base"]), "members")
-    sets = common.stored(texts.join(members.select(F.col("node").alias("id")).distinct(), "id").select("id", "text").mapInArrow(_sets, "node long, items binary"), "sets")
+    regions = regions.select("tree", "base", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    regions = common.stored(regions.coalesce(common.few(nodes.sparkSession)), "regions")
+    members = common.stored(members.join(regions, ["tree", "base"]).coalesce(common.few(nodes.sparkSession, 2)), "members")
+    sets = texts.join(members.select(F.col("node").alias("id")).distinct(), "id").select("id", "text").mapInArrow(_sets, "node long, items binary")
     dealt = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("tree", "base", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
@@ -259,40 +260,48 @@ def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     false. An empty table gives an empty result. Other columns of docs are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    with common.settings(spark, common.BATCHES):
+        seen, nodes, tops = _linked(spark, texts)
+    of_node = nodes.join(tops, nodes["node"] == tops["id"], "left").select(F.col("set").alias("node"), F.coalesce("component", nodes["node"]).alias("component_id"))
+    rows = seen.select("id", "n_shingles", "node").join(of_node, "node", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return rows.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+
+
+def _linked(spark: SparkSession, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures by row, nodes by set, and the component of each node that has links, all stored."""
+    few = common.few(spark)
     seen = common.stored(texts.mapInArrow(_signatures, SEEN), "signatures")
     some = seen.filter("node IS NOT NULL AND id IS NOT NULL")
     # a node's id is the least doc id with its set
     nodes = some.groupBy(F.col("node").alias("set")).agg(F.min(F.struct("id", "n_shingles", "signature")).alias("r"))
-    nodes = common.stored(nodes.select("set", F.col("r.id").alias("node"), F.col("r.n_shingles").alias("n"), F.col("r.signature").alias("signature")), "nodes")
+    nodes = common.stored(nodes.select("set", F.col("r.id").alias("node"), F.col("r.n_shingles").alias("n"), F.col("r.signature").alias("signature")).coalesce(common.few(spark, 2)), "nodes")
 
     sorted_rows = nodes.select("node", "n", "signature").mapInArrow(_labels, "tree byte, label binary, node long, n long, sketch binary")
     forest = sorted_rows.repartitionByRange(max(common.partitions(spark), 2), "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
     found = forest.mapInArrow(_candidates, "x long, y long, est double").filter("x != y")
     found = found.groupBy("x", "y").agg(F.max("est").alias("est"))
-    pairs = common.stored(found, "candidates")
+    pairs = common.stored(found.coalesce(few), "candidates")
 
-    ends = common.stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct(), "ends")
+    ends = common.stored(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct().coalesce(few), "ends")
     with common.settings(spark, BLOOM):
         sets = common.stored(texts.join(ends.filter("id IS NOT NULL"), "id").select("id", "text").mapInArrow(_sets, "node long, items binary"), "sets")
     best = Window.partitionBy("x").orderBy(F.desc("est"), "y")
     firsts = pairs.withColumn("rank", F.row_number().over(best)).filter("rank = 1")
-    links = common.stored(confirmed(firsts, sets), "links")
-    parts = components(links.toDF("a", "b"))
+    # sets are read by many tasks and few pairs link, so links are dealt anew before they are written
+    links = common.stored(confirmed(firsts, sets).repartition(few), "links")
+    parts = components(links.toDF("a", "b"), few)
     rest = pairs.join(parts.select(F.col("id").alias("x"), F.col("component").alias("cx")), "x", "left")
     rest = rest.join(parts.select(F.col("id").alias("y"), F.col("component").alias("cy")), "y", "left")
     rest = rest.filter("coalesce(cx, x) != coalesce(cy, y)").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    more = common.stored(confirmed(rest, sets), "links")
+    more = common.stored(confirmed(rest, sets).repartition(few), "links")
     links = links.union(more)
-    tops = common.stored(components(links.toDF("a", "b")), "tops")
+    tops = common.stored(components(links.toDF("a", "b"), few).coalesce(few), "tops")
     with common.settings(spark, BLOOM):
-        last = common.stored(large_region_links(nodes, tops, texts), "links")
+        last = common.stored(large_region_links(nodes, tops, texts).repartition(few), "links")
     if not last.isEmpty():
-        tops = common.stored(components(links.union(last).toDF("a", "b")), "tops")
-
-    of_node = nodes.join(tops, nodes["node"] == tops["id"], "left").select(F.col("set").alias("node"), F.coalesce("component", nodes["node"]).alias("component_id"))
-    rows = seen.select("id", "n_shingles", "node").join(of_node, "node", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return rows.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+        tops = common.stored(components(links.union(last).toDF("a", "b"), few).coalesce(few), "tops")
+    return seen, nodes, tops
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
