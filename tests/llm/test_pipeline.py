@@ -10,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from test_corpus import LOWER, WORD, fill, groups_of, shingle_set
+from tokensieve import workers
 from tokensieve.llm import common, quality, subword
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -61,3 +62,11 @@ def test_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mix", "encode"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF).columns == docs.columns
+
+
+def test_each_stage_tells_its_workers_to_give_memory_back(spark, monkeypatch):
+    docs = common.documents(spark, SF).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        monkeypatch.setattr(spark.sparkContext, "environment", {"MALLOC_ARENA_MAX": "3"})
+        stage(spark, docs, SF)
+        assert spark.sparkContext.environment == workers.MEMORY | {"MALLOC_ARENA_MAX": "3"}
