@@ -463,6 +463,27 @@ def test_dropout_is_lossless_and_columns_equal_the_heap(pieces, rate):
     assert subword.merge_many(pieces, units, lambda numbers, places: subword.dropped(np.array(keys, np.uint64)[numbers], places, encoder.limit)) == [np.array(subword.merge_keyed(pieces, u, k, encoder.limit), "<u4").tobytes() for u, k in zip(units, keys, strict=True)]
 
 
+def test_pairs_are_found_with_one_look(pieces):
+    letters = [chr(0x4E00 + i) for i in range(60)]
+    dense = subword.Pieces([("<s>", 0.0, False)] * 3 + [(x, 0.0, False) for x in letters] + [(a + b, -1.0, False) for a in letters for b in letters])
+    rng = np.random.default_rng(1)
+    for model in (pieces, dense):
+        want = {(model.ids[p[:k]], model.ids[p[k:]]): i for p, i in model.ids.items() for k in range(1, len(p)) if p[:k] in model.ids and p[k:] in model.ids}
+        some = [(a, b) for a, b in rng.integers(-2, model.size, (20_000, 2)).tolist()] + [(a, b) for a in (-2, -1, 0, model.size - 1) for b in range(-2, model.size)]
+        asked = np.array([*want, *some])
+        hit, made = model.join(asked[:, 0], asked[:, 1])
+        assert dict(zip(hit.tolist(), made.tolist(), strict=True)) == {n: want[a, b] for n, (a, b) in enumerate(map(tuple, asked.tolist())) if (a, b) in want}
+        assert all(model.joined(a, b) == want.get((a, b), -1) for a, b in asked[::50].tolist())
+
+
+def test_a_merge_looks_for_pairs_once(pieces, monkeypatch):
+    calls, join = [], subword.Pieces.join
+    monkeypatch.setattr(subword.Pieces, "join", lambda self, left, right: calls.append(len(left)) or join(self, left, right))
+    word = " international"
+    assert subword.merge_many(pieces, [word], lambda numbers, places: np.zeros(len(numbers), bool)) == [np.array(subword.merge_one(pieces, word, lambda place: False), "<u4").tobytes()]
+    assert len(calls) <= len(word) + 1  # the first look, one for each merge and an empty one
+
+
 def test_dropout_varies_with_each_occurrence(pieces):
     """A word has many segmentations, and remembered merges give what the heap gives with the same key."""
     n = 2000

@@ -10,7 +10,8 @@ Merges are remembered as a tree of states for each unit. The root is the merge w
 that it met. If the key skips none of them, the unit is what the state says. Otherwise the skipped ones lead to a child,
 the merge that skips just these, with the candidates that it met besides; and so on, until the key skips nothing new.
 That gives each occurrence exactly what its own key gives, with a few look-ups. What is met for the first time is merged
-together, one step of the agenda at a time for all units of a batch, as columns in numpy. Long units go through a heap.
+together, one step of the agenda at a time for all units of a batch, as columns in numpy, with one look at the table of
+pairs for what stands before and after each merge. Long units go through a heap.
 """
 
 from __future__ import annotations
@@ -74,16 +75,25 @@ class Pieces:
                 self.code[ord(p)] = i
         self.code[ord(" ")] = self.ids.get(BLANK, -1)
         self.size = len(rows)
-        self.pair = {(a, b): i for a, b, i in pairs}
-        bits = max(4, (4 * len(pairs)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.merged = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
-        for a, b, i in pairs:
-            k = a * self.size + b
-            at = ((k * 0x9E3779B97F4A7C15) & M64) >> (64 - bits)
-            while self.keys[at] != -1:
-                at = (at + 1) & self.mask
-            self.keys[at], self.merged[at] = k, i
+        # pairs in one table: that of (a, b) stands at first[a] + b, where no other left piece owns the place
+        order = sorted(pairs)
+        lefts, begin, many = np.unique(np.array([a for a, _, _ in order], np.int64), return_index=True, return_counts=True)
+        rights, made = np.array([b for _, b, _ in order], np.int64), np.array([i for _, _, i in order], np.int32)
+        self.first = np.full(self.size + 2, 2, np.int64)  # ids below 0 take the last two, which lead to places without an owner of theirs
+        room, rng = self.size + 2 + 4 * len(order), np.random.default_rng(0)  # starts of rows end there
+        self.owner, self.merged = np.full(room + self.size, -3, np.int32), np.full(room + self.size, -1, np.int32)
+        for k in np.argsort(-many, kind="stable").tolist():  # the fullest first, each where chance has it fit
+            own, to = rights[begin[k] : begin[k] + many[k]], len(self.owner)
+            for _ in range(50):
+                tries = rng.integers(self.size + 2, room, max(4, min(32, 4096 // len(own))))
+                fits = np.flatnonzero((self.owner[tries[:, None] + own] < 0).all(1))
+                if len(fits):
+                    to = int(tries[fits[0]])
+                    break
+            else:  # beyond all others
+                self.owner, self.merged = (np.concatenate((x, np.full(self.size, x[0]))) for x in (self.owner, self.merged))
+            self.first[lefts[k]] = to
+            self.owner[to + own], self.merged[to + own] = lefts[k], made[begin[k] : begin[k] + many[k]]
 
     @classmethod
     def load(cls, path: str = MODEL) -> Pieces:
@@ -92,20 +102,16 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         return cls([(sp.id_to_piece(i), sp.get_score(i), sp.is_byte(i)) for i in range(sp.get_piece_size())])
 
-    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The piece that each pair of pieces makes, or -1. Ids below 0 are no pieces."""
-        key = left.astype(np.int64) * self.size + right
-        key[(left < 0) | (right < 0)] = -2
-        at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-        out = np.full(len(key), -1, np.int32)
-        todo = np.flatnonzero(key >= 0)
-        while len(todo):
-            there = self.keys[at[todo]]
-            hit = there == key[todo]
-            out[todo[hit]] = self.merged[at[todo[hit]]]
-            todo = todo[~hit & (there != -1)]
-            at[todo] = (at[todo] + 1) & self.mask
-        return out
+    def join(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the pairs of pieces make a piece, the pieces that those make). Ids below 0 are no pieces."""
+        at = self.first[left] + right
+        some = np.flatnonzero(self.owner[at] == left)
+        return some, self.merged[at[some]]
+
+    def joined(self, left: int, right: int) -> int:
+        """The piece that two pieces make, or -1. Ids below 0 are no pieces."""
+        at = self.first.item(left) + right
+        return self.merged.item(at) if self.owner.item(at) == left else -1
 
     def spell(self, symbol: str) -> list[int]:
         """Byte pieces of a character that is no piece."""
@@ -147,11 +153,14 @@ def unit_keys(units: list[str], seed: int) -> np.ndarray:
     return unit_hashes(codes, np.cumsum(sizes) - sizes, sizes, seed)[0] if units else np.zeros(0, np.uint64)
 
 
+_PLACE = tuple(np.array([c], np.uint64).view(np.int64)[0] for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+
 def place_of(start, middle, end):
-    """Names the candidate that joins [start, middle) and [middle, end) of a unit; ints or arrays of uint64."""
+    """Names the candidate that joins [start, middle) and [middle, end) of a unit; ints or arrays of int64."""
     if isinstance(start, int):
         return (start * 0x9E3779B97F4A7C15 + middle * 0xC2B2AE3D27D4EB4F + end * 0x165667B19E3779F9) & M64
-    return start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + middle.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + end.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+    return (start * _PLACE[0] + middle * _PLACE[1] + end * _PLACE[2]).view(np.uint64)
 
 
 def dropped(key, place, limit: int):
@@ -174,7 +183,7 @@ def merge_one(pieces: Pieces, unit: str, skips: Callable[[int], bool], met: list
     heap: list[tuple[int, int, int, int, int]] = []
 
     def offer(a: int, b: int) -> None:
-        if a < 0 or b >= n or (m := pieces.pair.get((ids[a], ids[b]))) is None:
+        if a < 0 or b >= n or (m := pieces.joined(ids[a], ids[b])) < 0:
             return
         place = place_of(a, end[a], end[b])
         if met is not None:
@@ -211,19 +220,32 @@ def merge_keyed(pieces: Pieces, unit: str, key: int, limit: int) -> list[int]:
 Skips = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def merge_many(pieces: Pieces, units: list[str], skips: Skips, met: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
-    """merge_one for many short units at once; little-endian uint32 ids of each. met gets (numbers of units, places)."""
-    out = [b""] * len(units)
+def merge_many(pieces: Pieces, units: list[str], skips: Skips) -> list[bytes]:
+    """merge_one for many short units at once; little-endian uint32 ids of each."""
     if not units:
-        return out
+        return []
     sizes = np.fromiter(map(len, units), np.int64, len(units))
-    starts = np.cumsum(sizes) - sizes
-    ids = pieces.code[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
-    odd = np.logical_or.reduceat(ids < 0, starts)
+    codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ids, n = merge_codes(pieces, codes, np.cumsum(sizes) - sizes, sizes, skips)
+    ends = np.cumsum(n).tolist()
+    return [ids[a:b].astype("<u4").tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def merge_codes(pieces: Pieces, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, skips: Skips, met: list[tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """merge_one for many short units at once, runs of code points; (ids of one after another, how many of each). met gets (numbers of units, places)."""
+    if not len(starts):
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    ids = pieces.code[codes]
+    lacking = np.cumsum(np.concatenate(([0], ids < 0)))
+    odd = lacking[starts + sizes] > lacking[starts]
+    numbers, flat, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
     for i in np.flatnonzero(odd).tolist():  # characters without a piece
         places: list[int] = []
-        found = merge_one(pieces, units[i], lambda place, i=i: bool(skips(np.array([i]), np.array([place], np.uint64))[0]), places)
-        out[i] = np.array(found, "<u4").tobytes()
+        unit = "".join(map(chr, codes[starts[i] : starts[i] + sizes[i]].tolist()))
+        found = merge_one(pieces, unit, lambda place, i=i: bool(skips(np.array([i]), np.array([place], np.uint64))[0]), places)
+        numbers.append(np.array([i]))
+        flat.append(np.array(found, np.uint32))
+        counts.append(np.array([len(found)]))
         if met is not None:
             met.append((np.full(len(places), i), np.array(places, np.uint64)))
     low = 0
@@ -234,11 +256,12 @@ def merge_many(pieces: Pieces, units: list[str], skips: Skips, met: list[tuple[n
         for at in range(0, len(members), most):
             rows = members[at : at + most]
             done = _merge_block(pieces, ids, starts[rows], sizes[rows], rows, skips, met, width)
-            ends = np.cumsum((done >= 0).sum(1)) * 4
-            flat = done[done >= 0].astype("<u4").tobytes()
-            for i, a, b in zip(rows.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                out[i] = flat[a:b]
-    return out
+            numbers.append(rows)
+            flat.append(done[done >= 0].astype(np.uint32))
+            counts.append((done >= 0).sum(1))
+    order, n = np.argsort(np.concatenate(numbers)), np.concatenate(counts)
+    begin = np.cumsum(n) - n
+    return runs_of(np.concatenate(flat), begin[order], n[order]), n[order]
 
 
 def _merge_block(pieces: Pieces, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, skips: Skips, met: list | None, width: int) -> np.ndarray:
@@ -257,15 +280,16 @@ def _merge_block(pieces: Pieces, flat: np.ndarray, starts: np.ndarray, sizes: np
 
     def offer(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         """Set joined and rank of the pieces at a, each with the piece at b after it."""
-        at, base = row * wide + a, row * wide
-        new = pieces.join(ids[at], ids[base + b])
-        some = np.flatnonzero(new >= 0)
-        place, number = place_of(a[some], b[some], end[base[some] + b[some]]), numbers[row[some]]
+        base = row * wide
+        at, to = base + a, base + b
+        some, new = pieces.join(ids[at], ids[to])
+        place, number = place_of(a[some], b[some], end[to[some]]), numbers[row[some]]
         if met is not None:
             met.append((number, place))
-        new[some[skips(number, place)]] = -1
-        joined[at] = new
-        rank[at] = np.where(new >= 0, pieces.rank[new], NEVER)
+        rank[at] = NEVER
+        go = ~skips(number, place)
+        at, new = at[some[go]], new[go]
+        joined[at], rank[at] = new, pieces.rank[new]
 
     row, first = np.nonzero(inside[:, 1:])
     offer(row, first, first + 1)
@@ -283,18 +307,30 @@ def _merge_block(pieces: Pieces, flat: np.ndarray, starts: np.ndarray, sizes: np
         more = c < sizes[row]
         rank[at[~more]] = NEVER
         before[(base + c)[more]] = a[more]
-        offer(row[more], a[more], c[more])
         left = before[at]
         some = left >= 0
-        offer(row[some], left[some], a[some])
+        offer(np.concatenate((row[more], row[some])), np.concatenate((a[more], left[some])), np.concatenate((c[more], a[some])))
     return ids.reshape(n, wide)
 
 
-def padded(rows: list[bytes]) -> np.ndarray:
-    """The places of each row as a matrix, 0 (which names no candidate) to fill."""
-    n = np.fromiter(map(len, rows), np.int64, len(rows)) // 8
-    out = np.zeros((len(rows), int(n.max(initial=0))), np.uint64)
-    out[np.arange(out.shape[1]) < n[:, None]] = np.frombuffer(b"".join(rows), np.uint64)
+def runs_of(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of flat, one after another."""
+    return flat[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
+def appended(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each run of a with that of b after it, and how long they are."""
+    n = na + nb
+    second = np.repeat(np.tile([False, True], len(n)), np.stack((na, nb), 1).ravel())
+    out = np.empty(len(second), a.dtype)
+    out[~second], out[second] = a, b
+    return out, n
+
+
+def padded(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of each run as a matrix, 0 (which names no candidate) to fill."""
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))), np.uint64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = flat
     return out
 
 
@@ -361,11 +397,7 @@ class Runs:
         return self.ends[which + 1] - self.ends[which]
 
     def of(self, which: np.ndarray) -> np.ndarray:
-        n = self.size(which)
-        return self.flat[np.repeat(self.ends[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-
-    def bytes_of(self, which: int) -> bytes:
-        return self.flat[self.ends[which] : self.ends[which + 1]].tobytes()
+        return runs_of(self.flat, self.ends[which], self.size(which))
 
 
 class Encoder:
@@ -379,11 +411,10 @@ class Encoder:
     def forget(self) -> None:
         #: Two hashes of a unit -> state; (a hash of state and bits, bits of the skipped ones of its candidates) -> state.
         self.roots, self.children = Table(), Table()
-        #: By state: ids, places of the candidates met first here; the unit, the places met before, those skipped.
+        #: By state: ids, places of the candidates met first here; the unit's characters, the places met before, those skipped.
         self.ids, self.met = Runs(np.uint32), Runs(np.uint64)
-        self.unit: list[str] = []
-        self.known: list[bytes] = []
-        self.left: list[bytes] = []
+        self.unit, self.known, self.left = Runs(np.uint32), Runs(np.uint64), Runs(np.uint64)
+        self.states = 0
         #: By hash, what was asked for once; a clash only means that something is remembered the first time.
         self.once = np.zeros(ONCE, bool)
 
@@ -404,23 +435,27 @@ class Encoder:
         self.once[at[~again]] = True
         return first[again]
 
-    def add(self, units: list[str], known: list[bytes], left: list[bytes]) -> np.ndarray:
-        """New states: units merged without the candidates of left."""
-        first, table, old, met = len(self.unit), padded(left), padded(known), []
-        found = merge_many(self.pieces, units, lambda numbers, places: among(table, numbers, places), met)
-        self.ids.add(np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4)
+    def add(self, unit: np.ndarray, sizes: np.ndarray, known: tuple[np.ndarray, np.ndarray], left: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """New states: units merged without the candidates of left. All are runs: values, sizes."""
+        first, n, table, old, met = self.states, len(sizes), padded(*left), padded(*known), []
+        found = merge_codes(self.pieces, unit, np.cumsum(sizes) - sizes, sizes, lambda numbers, places: among(table, numbers, places), met)
         numbers, places = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
         new = ~among(old, numbers, places)
         numbers, places = numbers[new], places[new]
-        self.met.add(places[np.argsort(numbers, kind="stable")], np.bincount(numbers, minlength=len(units)))
-        self.unit += units
-        self.known += known
-        self.left += left
-        return np.arange(first, len(self.unit))
-
-    def learn(self, units: list[str], a: np.ndarray, b: np.ndarray) -> None:
-        none = [b""] * len(units)
-        self.roots.add(a, b, self.add(units, none, none))
+        for runs, values, many in (
+            (self.ids, *found),
+            (self.met, places[np.argsort(numbers, kind="stable")], np.bincount(numbers, minlength=n)),
+            (self.unit, unit, sizes),
+            (self.known, *known),
+            (self.left, *left),
+        ):
+            runs.add(values, many)
+        self.states += n
+        return np.arange(first, self.states)
+
+    def learn(self, unit: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        none = np.zeros(0, np.uint64), np.zeros(len(sizes), np.int64)
+        self.roots.add(a, b, self.add(unit, sizes, none, none))
 
     @staticmethod
     def step(state: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -428,12 +463,13 @@ class Encoder:
         return mix(mix(bits) + state.astype(np.uint64))
 
     def branch(self, state: np.ndarray, bits: np.ndarray) -> None:
-        left, known = [], []
-        for at, b in zip(state.tolist(), bits.tolist(), strict=True):
-            met = self.met.bytes_of(at)
-            left.append(self.left[at] + b"".join([met[8 * i : 8 * i + 8] for i in range(b.bit_length()) if b >> i & 1]))
-            known.append(self.known[at] + met)
-        self.children.add(self.step(state, bits), bits, self.add([self.unit[at] for at in state.tolist()], known, left))
+        n = self.met.size(state)
+        met, owner = self.met.of(state), np.repeat(np.arange(len(state)), n)
+        which = np.arange(len(met)) - np.repeat(np.cumsum(n) - n, n)
+        out = (bits[owner] >> which.astype(np.uint64)) & np.uint64(1) > 0
+        known = appended(self.known.of(state), self.known.size(state), met, n)
+        left = appended(self.left.of(state), self.left.size(state), met[out], np.bincount(owner[out], minlength=len(state)))
+        self.children.add(self.step(state, bits), bits, self.add(self.unit.of(state), self.unit.size(state), known, left))
 
     def skipped(self, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bits of the state's candidates that each key skips, whether there are too many to say)."""
@@ -450,7 +486,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None], starts: list[int]) -> list[bytes | None]:
         """Ids as little-endian uint32 for each text; starts: the key of each document, of 64 bits."""
-        if len(self.unit) > CACHED:
+        if self.states > CACHED:
             self.forget()
         some = [i for i, t in enumerate(texts) if t]
         out: list[bytes | None] = [None if t is None else b"" for t in texts]
@@ -474,7 +510,7 @@ class Encoder:
         state = self.roots.find(own, other)
         new = np.flatnonzero((state < 0) & (sizes <= SHORT))
         fresh = new[self.worth(own[new], other[new])]
-        self.learn(spelled_out(fresh), own[fresh], other[fresh])
+        self.learn(runs_of(codes, start[fresh], sizes[fresh]), sizes[fresh], own[fresh], other[fresh])
         state[new] = self.roots.find(own[new], other[new])
         again = [np.flatnonzero(state < 0)]
         at = np.flatnonzero(state >= 0) if self.limit else again[0][:0]
@@ -494,17 +530,18 @@ class Encoder:
             state[at] = to
         todo = np.concatenate(again)
         short, long = todo[sizes[todo] <= SHORT], todo[sizes[todo] > SHORT]
-        parts = merge_many(self.pieces, spelled_out(short), lambda numbers, places: dropped(key[short][numbers], places, self.limit))
-        parts += [np.array(merge_keyed(self.pieces, u, int(k), self.limit), "<u4").tobytes() for u, k in zip(spelled_out(long), key[long].tolist(), strict=True)]
+        keyed = key[short]
+        merged, n_merged = merge_codes(self.pieces, codes, start[short], sizes[short], lambda numbers, places: dropped(keyed[numbers], places, self.limit))
+        parts = [np.array(merge_keyed(self.pieces, u, int(k), self.limit), np.uint32) for u, k in zip(spelled_out(long), key[long].tolist(), strict=True)]
         # one source of ids, the remembered ones and then these
         known = int(self.ids.ends[-1])
-        source = np.concatenate((self.ids.flat[:known], np.frombuffer(b"".join(parts), "<u4")))
+        source = np.concatenate((self.ids.flat[:known], merged, *parts))
         n = self.ids.size(state)
         begin = self.ids.ends[state]
         redone = np.concatenate((short, long))
-        n[redone] = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        n[redone] = np.concatenate((n_merged, np.fromiter(map(len, parts), np.int64, len(parts))))
         begin[redone] = known + np.cumsum(n[redone]) - n[redone]
-        ids = source[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype("<u4").tobytes()
+        ids = runs_of(source, begin, n).astype("<u4").tobytes()
         ends = 4 * np.cumsum(n)[first + n_units - 1]
         for i, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
             out[i] = ids[a:b]
